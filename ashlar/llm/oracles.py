@@ -37,7 +37,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+_OP2 = r"""
+WITH rules(rhost, rpath, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+a AS (SELECT page_id, url, row_number() OVER () AS k, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+c AS (SELECT *, split_part(split_part(rest, '#', 1), '?', 1) AS cut FROM a),
+h AS (SELECT page_id, k, translate(split_part(cut, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(cut, length(split_part(cut, '/', 1)) + 1) AS path FROM c),
+m AS (SELECT k, rhost || rpath AS rule, v, row_number() OVER (PARTITION BY k ORDER BY length(rhost) DESC, length(rpath) DESC) AS r
+      FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN (SELECT * FROM m WHERE r = 1) USING (k)
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_url_filter": _OP2,
     "op6_line_dedup": _OP6,
     "op10_decontamination": _OP10,
 }
