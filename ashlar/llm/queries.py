@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, langid, linededup, minhash, packing, urlfilter
+from . import ann, bitpack, decontaminate, langid, linededup, minhash, packing, urlfilter
 
 
 def vocabulary(name: str) -> str:
@@ -44,6 +44,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bitpack.encode_to_files(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     out = bitpack.read_ids(files)
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op4_nearest": op4_nearest,
     "op5_token_files": op5_token_files,
     "op6_line_dedup": op6_line_dedup,
     "op8_language": op8_language,
