@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
 
 REMEMBERED = 500_000
 _WIDE = re.compile(r" \s")
+_BARE = re.compile(r" ?[A-Za-z]+")
+_LINES = re.compile(r"( ?[^\W\d_]+)([.,;:!?]*)(?:(\n)([^\W\d_]+)?([.,;:!?]*))?")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 LONG_UNIT = 256
 
@@ -38,40 +40,81 @@ class UnitTokenizer:
         if not self.spaced:
             return text.split(" ")
         if _WIDE.search(text):  # a run of white space is a piece of its own: cut only at lone spaces
-            parts = _LONE.split(text)
-        else:
-            parts = text.split(" ")
-        return parts[:1] + [" " + x for x in parts[1:]]
+            first, *rest = _LONE.split(text)
+            return [first, *(" " + x for x in rest)]
+        if "\0" in text:
+            first, *rest = text.split(" ")
+            return [first, *(" " + x for x in rest)]
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [self.units(t) for t in texts]
-        missing = set()
-        for units in cut:
-            missing.update(units)
-        young, old = self.young, self.old
-        missing -= young.keys()
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-            missing = set().union(*cut)
-        for u in list(missing):
-            if (known := old.get(u)) is not None:
-                young[u] = known
-                missing.discard(u)
-        rest = list(missing)
-        own = {}
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, get = self.young, self.young.get
+        out: list[bytes] = []
+        waiting, missing = [], set()
+        for k, t in enumerate(texts):
+            units = self.units(t)
+            found = list(map(get, units))
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # some are None
+                gaps = [i for i, x in enumerate(found) if x is None]
+                missing.update([units[i] for i in gaps])
+                out.append(b"")
+                waiting.append((k, units, found, gaps))
+        if waiting:
+            own = {}
+            for u in missing:
+                if (x := self.old.get(u)) is not None:
+                    own[u] = x
+            own.update(self._merged(missing - own.keys()))
+            for k, units, found, gaps in waiting:
+                for i in gaps:
+                    found[i] = own[units[i]]
+                out[k] = b"".join(found)
+            young.update(own)
+            for u in missing:
+                if len(u) > LONG_UNIT:
+                    del young[u]
+        return out
+
+    def _merged(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of units that are not remembered.
+
+        A unit ends in a letter or falls apart there: closing marks after a
+        letter are a piece of their own, and so is a lone line break.  Bare
+        ASCII words need no normaliser or splitter, only the merges.
+        """
+        own: dict[str, bytes] = {}
+        parts: dict[str, list[str]] = {}
+        wanted: set[str] = set()
+        for u in missing:
+            if _BARE.fullmatch(u):
+                wanted.add(u)
+                continue
+            if (m := _LINES.fullmatch(u)) and "\u0130" not in u:  # whose lower case ends in a mark
+                parts[u] = [x for x in m.groups() if x]
+                wanted.update(parts[u])
+            else:
+                wanted.add(u)
+        known = {u: x for u in wanted if (x := self.young.get(u) or self.old.get(u)) is not None}
+        rest = []
+        tokenize, word_start = self.tokenizer.model.tokenize, "\u0120" if self.spaced else ""
+        for u in wanted - known.keys():
+            if _BARE.fullmatch(u):
+                core = word_start + u[1:] if u[0] == " " else u
+                own[u] = array("I", [t.id for t in tokenize(core if self.spaced else core.lower())]).tobytes()
+            else:
+                rest.append(u)
         for k in range(0, len(rest), 1000):
             part = rest[k : k + 1000]
             for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                own[u] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        young.update((u, x) for u, x in own.items() if len(u) <= LONG_UNIT)
-        for units in cut:
-            try:
-                out.append(b"".join(map(young.__getitem__, units)))
-            except KeyError:
-                out.append(b"".join(young[u] if u in young else own[u] for u in units))
-        return out
+                own[u] = array("I", e.ids).tobytes()
+        for u, cut in parts.items():
+            own[u] = b"".join(own[x] if x in own else known[x] for x in cut)
+        own.update(known)
+        return own
 
 
 _loaded: dict[tuple[str, bool], UnitTokenizer] = {}
