@@ -1,6 +1,6 @@
 """Near-duplicate documents by fast similarity sketching (Dahlgaard, Knudsen, Thorup 2017).
 
-A document's word-shingle set is thrown into ``T`` bins.  In round i < T every
+A document's word-shingle set is thrown into T = bands * rows bins.  In round i < T every
 element falls into a hashed bin with value i + fraction; in round i >= T every
 element falls into bin i - T.  Each bin keeps its least value, and the rounds
 end once no bin is empty, so after at most 2T rounds every coordinate is
@@ -38,11 +38,10 @@ from . import scratch
 from .components import connected_components
 from .kernels import SPACES, U, grams, mix, strings, words_of_rows
 
-T = 128
-ROWS = 4
-BANDS = T // ROWS
+BANDS, ROWS = 32, 4
 BLOCK_DOCS = 256
-_ROUND = mix(np.arange(1, 2 * T + 1, dtype=U) * U(0xA24BAED4963EE407))
+#: of 2T rounds for T up to 256
+_ROUND = mix(np.arange(1, 513, dtype=U) * U(0xA24BAED4963EE407))
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -55,43 +54,43 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.nd
             yield g[np.concatenate(([True], g[1:] != g[:-1]))] if len(g) else g
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """The T coordinates of a non-empty set of hashes."""
-    out = np.full(T, np.iinfo(U).max, U)
+def sketch(s: np.ndarray, t: int = BANDS * ROWS) -> np.ndarray:
+    """The t coordinates (a power of two) of a non-empty set of hashes."""
+    out = np.full(t, np.iinfo(U).max, U)
     i, n = 0, len(s)
-    while i < 2 * T:
-        m = min(max(1, 2 * T // n), (T if i < T else 2 * T) - i)
+    while i < 2 * t:
+        m = min(max(1, 2 * t // n), (t if i < t else 2 * t) - i)
         h = mix(s[None, :] + _ROUND[i : i + m, None])
         value = (h >> U(9)) | (np.arange(i, i + m, dtype=U) << U(55))[:, None]
-        if i < T:
-            np.minimum.at(out, (h & U(T - 1)).astype(np.int64).ravel(), value.ravel())
+        if i < t:
+            np.minimum.at(out, (h & U(t - 1)).astype(np.int64).ravel(), value.ravel())
         else:
-            np.minimum(out[i - T : i - T + m], value.min(axis=1), out=out[i - T : i - T + m])
+            np.minimum(out[i - t : i - t + m], value.min(axis=1), out=out[i - t : i - t + m])
         i += m
-        if i <= T and (out >> U(55)).max() < U(i) or i > T and out.max() != np.iinfo(U).max:
+        if out.max() != np.iinfo(U).max:
             break
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    cells = sig.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=U) * U(0x9FB21C651E98DF25)
-    for c in range(ROWS):
+def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    cells = sig.reshape(bands, -1)
+    key = np.arange(1, bands + 1, dtype=U) * U(0x9FB21C651E98DF25)
+    for c in range(cells.shape[1]):
         key = mix(key + cells[:, c])
     return key
 
 
-def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], k: int, bands_n: int, rows_n: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, offsets = strings(b.column(1))
         n, d1, d2 = (np.zeros(b.num_rows, np.int64) for _ in range(3))
-        bands, filled = np.zeros((b.num_rows, BANDS), np.int64), np.zeros(b.num_rows, bool)
+        bands, filled = np.zeros((b.num_rows, bands_n), np.int64), np.zeros(b.num_rows, bool)
         for r, s in enumerate(shingle_sets(raw, offsets, k)):
             n[r] = len(s)
             if len(s):
                 d1[r], d2[r] = np.add.reduce(mix(s + U(1))).astype(np.int64), np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D))).astype(np.int64)
-                bands[r], filled[r] = band_keys(sketch(s)).astype(np.int64), True
-        at = np.concatenate(([0], np.cumsum(np.where(filled, BANDS, 0)))).astype(np.int32)
+                bands[r], filled[r] = band_keys(sketch(s, bands_n * rows_n), bands_n).astype(np.int64), True
+        at = np.concatenate(([0], np.cumsum(np.where(filled, bands_n, 0)))).astype(np.int32)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(at), pa.array(bands[filled].ravel()))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
 
@@ -130,7 +129,7 @@ def _block_links(pdf: pd.DataFrame, share: int) -> pd.DataFrame:
     return pd.DataFrame({"a": comp[a], "b": comp[b]}).drop_duplicates() if len(ids) else pd.DataFrame({"a": [], "b": []})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, bands: int = BANDS, rows_a_band: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Two documents are linked if ``100 * |A & B| >= share * |A | B|`` for their
@@ -148,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return _block_links(pdf, share)
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.save(docs.mapInArrow(partial(_features, k=k), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
+    rows = scratch.save(docs.mapInArrow(partial(_features, k=k, bands_n=bands, rows_n=rows_a_band), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
     full = rows.where("doc_id is not null and n_shingles > 0")
     least = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
     # one row for each distinct set, under its least id

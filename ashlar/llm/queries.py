@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitpack, decontaminate, langid, linededup, minhash, packing, suffix, urlfilter
+from . import ann, bitpack, decontaminate, langid, linededup, minhash, packing, paragraphs, suffix, urlfilter
 
 
 def vocabulary(name: str) -> str:
@@ -77,6 +77,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"), share=80)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -93,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language": op8_language,
+    "op9_paragraphs": op9_paragraphs,
     "op10_decontamination": op10_decontamination,
 }
