@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def plain(df):
     def one(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) in ("<NA>", "nan", "NaT"):
             return None
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return bool(v)
