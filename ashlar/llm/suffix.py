@@ -156,15 +156,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for row in b.to_pylist():
                 gone = {(x["doc"], x["d1"]) for x in row["copies"] or ()}
                 doc, start, count, data, part = [], [], [], [], []
-                for r, text, a, z, h in chunk_anchors(row):
-                    if (row["docs"][r], row["d1"][r]) in gone:
+                found = [x for x in chunk_anchors(row) if len(x[4])]
+                # one look-up for the whole chunk
+                again = is_repeated(np.concatenate([x[4] for x in found]) if found else np.zeros(0, U), row["again"], row["buckets"])
+                at = 0
+                for r, text, a, z, h in found:
+                    own = np.flatnonzero(again[at : at + len(h)])
+                    at += len(h)
+                    if not len(own) or (row["docs"][r], row["d1"][r]) in gone:
                         continue
-                    for k in np.flatnonzero(is_repeated(h, row["again"], row["buckets"])):
-                        doc.append(row["docs"][r])
-                        start.append(row["at"][r] + a[k])
-                        count.append(z[k] - a[k])
-                        data.append(text[a[k] : z[k] + length - 1])
-                        part.append(int(h[k] % U(parts)))
+                    lo, hi = a[own], z[own]
+                    doc += [row["docs"][r]] * len(own)
+                    start += (row["at"][r] + lo).tolist()
+                    count += (hi - lo).tolist()
+                    part += (h[own] % U(parts)).tolist()
+                    size = hi - lo + length - 1
+                    data.append(text[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())])
                 if not doc:
                     continue
                 doc, start, count, part = np.array(doc, np.int64), np.array(start, np.int64), np.array(count, np.int64), np.array(part, np.int64)
