@@ -136,6 +136,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     told = chunks.join(again, "chunk")
     found = scratch.save(told.mapInArrow(candidates, "doc_id long, start long, length long, name long, text string"), "paragraphs")
+    scratch.free(docs.sparkSession)
     once = found.where("text is not null").groupBy("name").agg(F.min("text").alias("text"))
     clusters = minhash.near_duplicates(once, "name", "text", k=SHINGLE, share=share, bands=8, rows_a_band=2)
     named = found.drop("text").join(clusters.select(F.col("doc_id").alias("name"), F.col("component_id").alias("cluster")), "name").drop("name")

@@ -9,6 +9,7 @@ folder (unit tests on one machine) a temporary one is created.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,15 @@ def save(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not at the driver's next collection.
+
+    Worth it between the passes of an operator that shuffles as much as its input.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mark() -> int:
     return len(_made)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .chunks import distinct, is_repeated, make_chunks, repeated, texts
+from .chunks import distinct, is_repeated, make_chunks, pack, repeated, texts, unpack
 from .kernels import U, mix, powers
 
 LENGTH = 50
@@ -128,6 +128,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length < GRAM + 1:
         raise ValueError(f"length must be above {GRAM}")
+    spark = docs.sparkSession
     chunks = make_chunks(docs, id_col, text_col, PIECE, length - 1)
     meta = chunks.select("chunk", F.explode(F.arrays_zip("docs", "sizes", "at", "d1", "d2")).alias("x")).select("chunk", F.col("x.docs").alias("doc"), F.col("x.d1").alias("d1"), F.col("x.d2").alias("d2"))
     least = meta.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
@@ -184,7 +185,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         docs, starts, counts = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[c]]) for c in ("docs", "starts", "counts"))
         chunk = np.repeat(pdf["chunk"].to_numpy(dtype=object), pdf["docs"].map(len) // 8)
         names, code = np.unique(chunk.astype(str), return_inverse=True)
-        data = np.frombuffer(b"".join(pdf["data"]), np.uint8)
+        data = np.frombuffer(b"".join(map(unpack, pdf["data"])), np.uint8)
         spans, (stay, d, s, c, bytes_) = _settle(docs, starts, counts, data, code, length)
         rows = [(0, names[x[1]], *x[2:]) for x in _span_rows(*spans)]
         rows += _context_rows(np.full(len(stay), pdf["part"].iloc[0]), names[code[stay]], d, s, c, bytes_, length)
@@ -192,8 +193,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     told = chunks.join(again, "chunk", "left").join(copies, "chunk", "left")
     first = scratch.save(told.mapInArrow(contexts, _OUT), "contexts")
+    scratch.free(spark)
     share = F.pmod(F.xxhash64("chunk"), F.lit(shares))
     second = scratch.save(first.where("kind = 1").withColumn("share", share).groupBy("part", "share").applyInPandas(among, _OUT), "contexts")
+    scratch.free(spark)
     third = second.where("kind = 1").groupBy("part").applyInPandas(among, _OUT).where("kind = 0")
     spans = first.where("kind = 0").unionByName(second.where("kind = 0")).unionByName(third)
     spans = spans.groupBy("chunk").agg(F.collect_list(F.struct("docs", "starts", "counts")).alias("spans"))
@@ -247,6 +250,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = "doc_id long, n_bytes long, spans array<long>, kept binary"
     spans = scratch.save(spans, "spans")
+    scratch.free(spark)
     with_spans = lambda x: x.join(spans, "chunk", "left").join(copies, "chunk", "left")
     long_ones = with_spans(chunks.where(F.exists("pieces", lambda x: x >= 0))).mapInArrow(cut, "piece long, doc_id long, at long, mask binary, text binary")
     return with_spans(chunks).mapInArrow(whole, schema).unionByName(long_ones.groupBy("piece").applyInPandas(together, schema))
@@ -265,7 +269,7 @@ def _context_rows(part, chunk, docs, starts, counts, data, length) -> list[tuple
     out = []
     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
         own = order[x:y]
-        out.append((1, str(chunk[x]), int(part[x]), docs[own].astype("<i8").tobytes(), starts[own].astype("<i8").tobytes(), counts[own].astype("<i8").tobytes(), b"".join(raw[base[k] : base[k + 1]] for k in own)))
+        out.append((1, str(chunk[x]), int(part[x]), docs[own].astype("<i8").tobytes(), starts[own].astype("<i8").tobytes(), counts[own].astype("<i8").tobytes(), pack(b"".join(raw[base[k] : base[k + 1]] for k in own))))
     return out
 
 
