@@ -44,14 +44,27 @@ BLOCK_DOCS = 256
 _ROUND = mix(np.arange(1, 513, dtype=U) * U(0xA24BAED4963EE407))
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Sorted distinct k-word shingle hashes of each row; the whole sequence if it is shorter."""
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of rows: the first row, the rows' distinct k-word shingle hashes one after the other, and their counts.
+
+    A row's hashes ascend; a row of fewer than k words has its whole sequence as one.
+    """
     for i, j, h, _, _, first in words_of_rows(raw, offsets, SPACES):
-        for r in range(j - i):
-            w = h[first[r] : first[r + 1]]
-            g = grams(w, min(k, len(w))) if len(w) else w
-            g = np.sort(g)
-            yield g[np.concatenate(([True], g[1:] != g[:-1]))] if len(g) else g
+        size = np.diff(first)
+        row = np.repeat(np.arange(j - i), size)
+        g = grams(h, k)
+        inside = row[: len(g)] == row[k - 1 :] if len(g) else np.zeros(0, bool)
+        values, owner = [g[inside]], [row[: len(g)][inside]]
+        for r in np.flatnonzero((size > 0) & (size < k)).tolist():
+            values.append(grams(h[first[r] : first[r + 1]], int(size[r])))
+            owner.append(np.array([r]))
+        values, owner = np.concatenate(values), np.concatenate(owner)
+        order = np.lexsort((values, owner))
+        values, owner = values[order], owner[order]
+        if len(values):
+            new = np.concatenate(([True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])))
+            values, owner = values[new], owner[new]
+        yield i, values, np.bincount(owner, minlength=j - i)
 
 
 def sketch(s: np.ndarray, t: int = BANDS * ROWS) -> np.ndarray:
@@ -72,11 +85,36 @@ def sketch(s: np.ndarray, t: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
+def sketches(values: np.ndarray, counts: np.ndarray, t: int) -> np.ndarray:
+    """``sketch`` of many sets at once: large ones one by one, the others round by round together."""
+    out = np.full((len(counts), t), np.iinfo(U).max, U)
+    cuts = np.concatenate(([0], np.cumsum(counts)))
+    large = counts >= 4 * t
+    for r in np.flatnonzero(large).tolist():
+        out[r] = sketch(values[cuts[r] : cuts[r + 1]], t)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    open_ = ~large[owner]
+    values, owner = values[open_], owner[open_]
+    flat = out.reshape(-1)
+    for i in range(2 * t):
+        if not len(values):
+            break
+        h = mix(values + _ROUND[i])
+        value = (h >> U(9)) | (U(i) << U(55))
+        cell = (h & U(t - 1)).astype(np.int64) if i < t else i - t
+        np.minimum.at(flat, owner * t + cell, value)
+        if i % 4 == 3:  # sets without an empty bin are done
+            open_ = (out == np.iinfo(U).max).any(axis=1)[owner]
+            values, owner = values[open_], owner[open_]
+    return out
+
+
 def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    cells = sig.reshape(bands, -1)
+    """The band keys of each row of coordinates."""
+    cells = sig.reshape(len(sig), bands, -1)
     key = np.arange(1, bands + 1, dtype=U) * U(0x9FB21C651E98DF25)
-    for c in range(cells.shape[1]):
-        key = mix(key + cells[:, c])
+    for c in range(cells.shape[2]):
+        key = mix(key + cells[:, :, c])
     return key
 
 
@@ -84,24 +122,28 @@ def _features(batches: Iterator[pa.RecordBatch], k: int, bands_n: int, rows_n: i
     for b in batches:
         raw, offsets = strings(b.column(1))
         n, d1, d2 = (np.zeros(b.num_rows, np.int64) for _ in range(3))
-        bands, filled = np.zeros((b.num_rows, bands_n), np.int64), np.zeros(b.num_rows, bool)
-        for r, s in enumerate(shingle_sets(raw, offsets, k)):
-            n[r] = len(s)
-            if len(s):
-                d1[r], d2[r] = np.add.reduce(mix(s + U(1))).astype(np.int64), np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D))).astype(np.int64)
-                bands[r], filled[r] = band_keys(sketch(s, bands_n * rows_n), bands_n).astype(np.int64), True
-        at = np.concatenate(([0], np.cumsum(np.where(filled, bands_n, 0)))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(at), pa.array(bands[filled].ravel()))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+        bands = np.zeros((b.num_rows, bands_n), np.int64)
+        for i, values, counts in shingle_sets(raw, offsets, k):
+            n[i : i + len(counts)] = counts
+            some = np.flatnonzero(counts)
+            if len(some):
+                cuts = (np.cumsum(counts) - counts)[some]
+                d1[i + some] = np.add.reduceat(mix(values + U(1)), cuts).astype(np.int64)
+                d2[i + some] = np.add.reduceat(mix(values ^ U(0x5851F42D4C957F2D)), cuts).astype(np.int64)
+                bands[i + some] = band_keys(sketches(values, counts[some], bands_n * rows_n), bands_n).astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(np.where(n > 0, bands_n, 0)))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(at), pa.array(bands[n > 0].ravel()))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, offsets = strings(b.column(1))
-        at, values = [0], []
-        for s in shingle_sets(raw, offsets, k):
-            values.append(s.astype(np.int64))
-            at.append(at[-1] + len(s))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))], ["doc_id", "s"])
+        sets, sizes = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for _, values, counts in shingle_sets(raw, offsets, k):
+            sets.append(values.astype(np.int64))
+            sizes.append(counts)
+        at = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], ["doc_id", "s"])
 
 
 def _block_links(pdf: pd.DataFrame, share: int) -> pd.DataFrame:

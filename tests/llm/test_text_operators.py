@@ -216,3 +216,12 @@ def test_url_rules(spark):
         assert (r["verdict"], r["rule"]) == urls[r["url"]], r
     assert urlfilter.url_verdicts(pages.where("false"), rules).count() == 0
     assert urlfilter.url_verdicts(pages, rules.where("false")).where("rule is not null").count() == 0
+
+
+@pytest.mark.parametrize("t", [16, 128])
+def test_sketches_together_equal_sketches_alone(t):
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 2, 5, 17, 60, 130, 600, 3000)]
+    both = minhash.sketches(np.concatenate(sets), np.array([len(s) for s in sets]), t)
+    assert all((minhash.sketch(s, t) == row).all() for s, row in zip(sets, both, strict=True))
+    assert both.max() < np.iinfo(np.uint64).max
