@@ -29,7 +29,8 @@ from .chunks import distinct, is_repeated, make_chunks, repeated, texts
 from .kernels import SPACES, U, grams, mix, powers, sliding_min, words_of_rows
 
 REACH, LEAST, SHINGLE, KEYS = 3, 9, 5, 4
-_SALTS = mix(np.arange(1, 2 * KEYS + 1, dtype=U) * U(0xE7037ED1A0B428DB))
+#: odd factors; gram hashes are mixed already, so multiplying orders them anew
+_SALTS = mix(np.arange(1, 2 * KEYS + 1, dtype=U) * U(0xE7037ED1A0B428DB)) | U(1)
 
 
 def cut(h: np.ndarray) -> np.ndarray:
@@ -51,7 +52,7 @@ def keys(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
     g = grams(h, SHINGLE)
     at = np.stack((spans[:, 0], spans[:, 1] - SHINGLE + 1), axis=1).ravel()
     end = np.full(1, np.iinfo(U).max, U)
-    least = [np.minimum.reduceat(np.concatenate((mix(g ^ s), end)), at)[::2] for s in _SALTS]
+    least = [np.minimum.reduceat(np.concatenate((g * s, end)), at)[::2] for s in _SALTS]
     return np.stack([mix(mix(least[2 * k] ^ _SALTS[k]) + least[2 * k + 1]) for k in range(KEYS)], axis=1)
 
 
