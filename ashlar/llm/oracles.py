@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+_OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(b) AS component_id, min(b) = doc_id AS kept
+FROM w JOIN r ON r.a = w.doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 _OP6 = r"""
 WITH lines AS (
   SELECT doc_id, i, l.line AS line,
@@ -48,6 +63,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JO
 """
 
 ORACLES: dict[str, str] = {
+    "op1_minhash": _OP1,
     "op2_url_filter": _OP2,
     "op6_line_dedup": _OP6,
     "op10_decontamination": _OP10,
