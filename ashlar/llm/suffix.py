@@ -69,21 +69,23 @@ def previous_factors(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, d
     A context is ``counts + length - 1`` bytes of ``data`` and has ``counts`` windows.
     """
     n = int(counts.sum())
-    context = np.repeat(np.arange(len(counts)), counts)
     sizes = counts + length - 1
     base = np.cumsum(sizes) - sizes
-    at = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts) + base[context]
+    by_doc = np.argsort(docs, kind="stable")  # equal windows stay in this order
+    own = counts[by_doc]
+    within = np.arange(n) - np.repeat(np.cumsum(own) - own, own)
     words = -(-length // 8)
     padded = np.zeros((n, words * 8), np.uint8)
-    padded[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[at]
-    key = padded.view(">u8").astype(U)
-    doc = docs[context]
-    order = np.lexsort((doc, *(key[:, k] for k in range(words - 1, -1, -1))))
-    key, doc = key[order], doc[order]
-    head = np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))
+    padded[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[np.repeat(base[by_doc], own) + within]
+    windows = padded.view(f"S{words * 8}").ravel()  # compared byte by byte
+    order = np.argsort(windows, kind="stable")
+    doc = np.repeat(docs[by_doc], own)[order]
+    windows = windows[order]
+    head = np.concatenate(([True], windows[1:] != windows[:-1]))
     first = doc[np.maximum.accumulate(np.where(head, np.arange(n), 0))]
+    place = np.repeat((np.cumsum(counts) - counts)[by_doc], own) + within
     out = np.empty(n, bool)
-    out[order] = first < doc
+    out[place[order]] = first < doc
     return out
 
 
