@@ -41,6 +41,8 @@ GRAM = 24
 PIECE = 1 << 19
 #: windows of a part, about
 PART = 200_000
+#: compressed bytes of a part that is met by shares of the chunks first, and how many such parts are broadcast
+HOT, MOST_HOT = 2 << 20, 100_000
 _BYTES = mix(np.arange(1, 257, dtype=U) * U(0x8CB92BA72F3D8DD7))
 
 
@@ -196,10 +198,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = chunks.join(again, "chunk", "left").join(copies, "chunk", "left")
     first = scratch.save(told.mapInArrow(contexts, _OUT), "contexts")
     scratch.free(spark)
+    open_ = first.where("kind = 1")
+    hot = scratch.save(open_.groupBy("part").agg(F.sum(F.octet_length("data")).alias("size")).where(F.col("size") > HOT).select("part"), "hot")
+    if hot.count() <= MOST_HOT:
+        large, small = open_.join(F.broadcast(hot), "part", "left_semi"), open_.join(F.broadcast(hot), "part", "left_anti")
+    else:  # too many to broadcast: all parts take the longer way
+        large, small = open_, open_.where("false")
     share = F.pmod(F.xxhash64("chunk"), F.lit(shares))
-    second = scratch.save(first.where("kind = 1").withColumn("share", share).groupBy("part", "share").applyInPandas(among, _OUT), "contexts")
+    second = scratch.save(large.withColumn("share", share).groupBy("part", "share").applyInPandas(among, _OUT), "contexts")
     scratch.free(spark)
-    third = second.where("kind = 1").groupBy("part").applyInPandas(among, _OUT).where("kind = 0")
+    third = small.unionByName(second.where("kind = 1")).groupBy("part").applyInPandas(among, _OUT).where("kind = 0")
     spans = first.where("kind = 0").unionByName(second.where("kind = 0")).unionByName(third)
     spans = spans.groupBy("chunk").agg(F.collect_list(F.struct("docs", "starts", "counts")).alias("spans"))
 
