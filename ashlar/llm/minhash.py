@@ -40,6 +40,8 @@ from .kernels import SPACES, U, grams, mix, strings, words_of_rows
 
 BANDS, ROWS = 32, 4
 BLOCK_DOCS = 256
+#: documents of a bucket whose pairs are verified one by one
+FEW = 12
 #: of 2T rounds for T up to 256
 _ROUND = mix(np.arange(1, 513, dtype=U) * U(0xA24BAED4963EE407))
 
@@ -171,6 +173,15 @@ def _block_links(pdf: pd.DataFrame, share: int) -> pd.DataFrame:
     return pd.DataFrame({"a": comp[a], "b": comp[b]}).drop_duplicates() if len(ids) else pd.DataFrame({"a": [], "b": []})
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, share: int, *more: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").where(F.size("sb") > 0)
+    pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    pairs = pairs.where((F.size("sa") * 100 >= F.size("sb") * share) & (F.size("sb") * 100 >= F.size("sa") * share))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * share).select("a", "b", *more)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, bands: int = BANDS, rows_a_band: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -202,22 +213,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = members.select("doc_id").distinct()
     wanted = docs.join(ids, "doc_id", "left_semi")
     sets = scratch.save(wanted.mapInArrow(partial(_sets, k=k), "doc_id long, s array<long>"), "sets")
-    pairs = stars.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").where(F.size("sb") > 0)
-    pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    pairs = pairs.where((F.size("sa") * 100 >= F.size("sb") * share) & (F.size("sb") * 100 >= F.size("sa") * share))
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * share).select("a", "b")
+    links = _verified(stars, sets, share)
     first = scratch.save(connected_components(links, "a", "b"), "components")
 
     named = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     named = scratch.save(named.distinct(), "named")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("lo < hi")
-    mixed = mixed.groupBy("who", "n").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("blocks"))
-    cells = named.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int"))
+    mixed = scratch.save(mixed.groupBy("who", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("blocks")), "mixed")
+    # a small bucket has at most FEW * (FEW - 1) / 2 pairs, which need no block
+    few = named.join(mixed.where(F.col("n") <= FEW).select("bucket"), "bucket")
+    near = few.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca")).join(few.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb")), "bucket")
+    near = near.where("ca < cb").select("a", "b", "ca", "cb").distinct()
+    near = _verified(near, sets, share, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    cells = named.join(mixed.where(F.col("n") > FEW), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = cells.withColumn("o", other).select("bucket", "doc_id", "component", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), (F.col("own") > F.col("o")).cast("int").alias("side"))
     one = sets.where(F.size("s") > 0)
-    across = cells.join(one, "doc_id").groupBy("bucket", "x", "y").applyInPandas(block_links, "a long, b long").distinct()
+    across = cells.join(one, "doc_id").groupBy("bucket", "x", "y").applyInPandas(block_links, "a long, b long").unionByName(near).distinct()
     second = connected_components(across, "a", "b")
     final = first.select("node", "component").join(second.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
     final = final.select("node", F.coalesce("least", "component").alias("component")).unionAll(second.join(first.select("node"), "node", "left_anti").select("node", "component"))

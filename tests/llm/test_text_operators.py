@@ -73,6 +73,7 @@ def test_near_duplicates(spark, docs, k):
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A chain of texts, each near only to its neighbours, in blocks of two."""
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(minhash, "FEW", 3)
     words = [f"w{i}" for i in range(160)]
     docs = {i: " ".join(words[4 * i : 4 * i + 60]) for i in range(20)}
     out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, docs), k=4, share=80).collect()}
