@@ -1,18 +1,21 @@
-"""Repeated passages by paragraph MinHash banding.
-
-Paragraphs are cut by content, so that a passage falls apart the same way
-wherever it is pasted: a boundary stands before each word whose bigram hash is
-the least within ``REACH`` words, and a paragraph runs over two such steps, so
-neighbours overlap by one (about 14 words).  Those of fewer than ``LEAST``
-words are left out.
-
-Each paragraph's 5-word shingles give ``KEYS`` keys of two min-hashes, and only
-paragraphs with a key that another document has too go on (``chunks.repeated``
-tells, at four bytes a key): of two paragraphs at the threshold 0.8 one of
-four keys agrees with probability 1 - 0.36**4 = 0.983, at 0.9 with 0.999, and
-equal paragraphs always agree.  What is left collapses to distinct paragraphs, is banded
-(8 bands of 2, tuned for recall: 1 - 0.36**8 = 0.9997 at 0.8), joined,
-verified by exact Jaccard, and clustered by components.
+"""Repeated paragraphs by MinHash banding, and passages repeated inside other text.
+
+Paragraphs are the text's own: every line with a word, however short, and in
+texts with blank lines also each block of several lines.  Each paragraph's
+5-word shingles give ``KEYS`` keys of two min-hashes, and only paragraphs with
+a key that stands elsewhere too go on (``chunks.repeated`` tells, at four
+bytes a key): of two paragraphs at the threshold 0.8 one of four keys agrees
+with probability 1 - 0.36**4 = 0.983, and equal ones always agree.  What is
+left collapses to distinct paragraphs, is banded (8 bands of 2, tuned for
+recall: 1 - 0.36**8 = 0.9997 at 0.8), joined, verified by exact Jaccard, and
+clustered by components.
+
+Passages are copies of ``LEAST`` words at least that lie anywhere in a text,
+across line breaks too.  Every run of ``LEAST`` words learns its first place
+in the corpus (least document, then position), and runs that continue one
+another in both texts make one passage, so it ends where the copy ends.  Runs
+are prefiltered like the keys; then only each chunk's first places of repeated
+runs travel, and only to buckets that are small by construction.
 """
 
 from __future__ import annotations
@@ -20,40 +23,50 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash, scratch
-from .chunks import distinct, is_repeated, make_chunks, repeated, texts
-from .kernels import SPACES, U, grams, mix, powers, sliding_min, words_of_rows
+from .chunks import BUCKET, bucket_of, distinct, is_repeated, make_chunks, repeated, texts
+from .kernels import SPACES, U, grams, mix, powers, words_of_rows
 
-REACH, LEAST, SHINGLE, KEYS = 3, 9, 5, 4
+LEAST, SHINGLE, KEYS = 9, 5, 4
 #: odd factors; gram hashes are mixed already, so multiplying orders them anew
 _SALTS = mix(np.arange(1, 2 * KEYS + 1, dtype=U) * U(0xE7037ED1A0B428DB)) | U(1)
+#: a run's first place: its hash, document, word, first byte and bytes
+PLACE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("word", "<i4"), ("start", "<i4"), ("size", "<i4")])
 
 
-def cut(h: np.ndarray) -> np.ndarray:
-    """(first, end) words of the paragraphs of a text of word hashes."""
-    n = len(h)
-    if n < LEAST:
+def units(raw: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """(first, end) words of the paragraphs of a text whose words start at bytes s."""
+    if not len(s):
         return np.zeros((0, 2), np.int64)
-    g = grams(h, 2)
-    edge = np.full(REACH, np.iinfo(U).max, U)
-    least = sliding_min(np.concatenate((edge, g, edge)), 2 * REACH + 1)
-    inner = np.flatnonzero(g == least)
-    at = np.unique(np.concatenate(([0], inner, [n])))
-    both = np.stack((at[:-2], at[2:]), axis=1) if len(at) > 2 else np.array([[0, n]])
-    return both[both[:, 1] - both[:, 0] >= LEAST]
+    line = np.searchsorted(np.flatnonzero(raw == 10), s)
+    step = np.diff(line)
+    at = np.concatenate(([0], np.flatnonzero(step) + 1, [len(s)]))
+    out = np.stack((at[:-1], at[1:]), axis=1)
+    if (step > 1).any():
+        at = np.concatenate(([0], np.flatnonzero(step > 1) + 1, [len(s)]))
+        blocks = np.stack((at[:-1], at[1:]), axis=1)
+        out = np.concatenate((out, blocks[line[blocks[:, 1] - 1] > line[blocks[:, 0]]]))
+    return out
 
 
 def keys(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """KEYS keys of each paragraph, each of two min-hashes of its shingles."""
-    g = grams(h, SHINGLE)
-    at = np.stack((spans[:, 0], spans[:, 1] - SHINGLE + 1), axis=1).ravel()
-    end = np.full(1, np.iinfo(U).max, U)
-    least = [np.minimum.reduceat(np.concatenate((g * s, end)), at)[::2] for s in _SALTS]
-    return np.stack([mix(mix(least[2 * k] ^ _SALTS[k]) + least[2 * k + 1]) for k in range(KEYS)], axis=1)
+    """KEYS keys of each paragraph, each of two min-hashes of its shingles; one of fewer words is one shingle."""
+    out = np.empty((len(spans), KEYS), U)
+    short = spans[:, 1] - spans[:, 0] < SHINGLE
+    if short.any():
+        out[short] = names(h, spans[short])[:, None]
+    if not short.all():
+        own, g = spans[~short], grams(h, SHINGLE)
+        at = np.stack((own[:, 0], own[:, 1] - SHINGLE + 1), axis=1).ravel()
+        end = np.full(1, np.iinfo(U).max, U)
+        least = [np.minimum.reduceat(np.concatenate((g * s, end)), at)[::2] for s in _SALTS]
+        out[~short] = np.stack([mix(mix(least[2 * k] ^ _SALTS[k]) + least[2 * k + 1]) for k in range(KEYS)], axis=1)
+    return out
 
 
 def names(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -66,45 +79,139 @@ def names(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return mix((total[spans[:, 1]] - total[spans[:, 0]]) * down[spans[:, 0]] + (spans[:, 1] - spans[:, 0]).astype(U))
 
 
+def word_texts(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in the chunk, word hashes, starts, ends, bytes) of each text; starts and ends are bytes of the text."""
+    raw, offsets = texts(row)
+    for i, j, h, s, e, first in words_of_rows(raw, offsets, SPACES):
+        for r in range(j - i):
+            base = 0 if j == i + 1 else offsets[i + r] - offsets[i] + r  # separators between the rows of a run
+            a, z = first[r], first[r + 1]
+            yield i + r, h[a:z], s[a:z] - base, e[a:z] - base, raw[offsets[i + r] : offsets[i + r + 1]]
+
+
+def runs(row: dict) -> np.ndarray:
+    """All runs of LEAST words of a chunk, by document, text and position."""
+    out = [np.zeros(0, PLACE)]
+    found = sorted(word_texts(row), key=lambda x: row["docs"][x[0]])
+    for r, h, s, e, _ in found:
+        if len(h) >= LEAST:
+            own = np.empty(len(h) - LEAST + 1, PLACE)
+            own["h"], own["doc"], own["word"], own["start"] = grams(h, LEAST), row["docs"][r], np.arange(len(own)), s[: len(own)]
+            own["size"] = e[LEAST - 1 :] - s[: len(own)]
+            out.append(own)
+    return np.concatenate(out)
+
+
+def first_places(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs in order: the first of each hash (hashes ascending), and for each run which of these is its own."""
+    order = np.argsort(every["h"], kind="stable")
+    h = every["h"][order]
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    own = np.empty(len(h), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return every[order[new]], own
+
+
+def passages(every: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """(start, bytes, source's start, source's bytes, document, source) of the copies of earlier documents' text."""
+    copy = source["doc"] < every["doc"]
+    every, source = every[copy], source[copy]
+    if not len(every):
+        return np.zeros((0, 6), np.int64)
+    goes_on = (every["doc"][1:] == every["doc"][:-1]) & (every["word"][1:] == every["word"][:-1] + 1) & (source["doc"][1:] == source["doc"][:-1])
+    goes_on &= (source["word"][1:] == source["word"][:-1] + 1) | (every["h"][1:] == every["h"][:-1])
+    first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    last = np.concatenate((first[1:], [len(every)])) - 1
+    ends = lambda x: x["start"][last].astype(np.int64) + x["size"][last]
+    x, y = every["start"][first].astype(np.int64), source["start"][first].astype(np.int64)
+    return np.stack((x, ends(every) - x, y, ends(source) - y, every["doc"][first], source["doc"][first]), axis=1)
+
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk of a bucket the first places that lie in another chunk."""
+    parts = [np.frombuffer(x, PLACE) for x in pdf["places"]]
+    every = np.concatenate(parts)
+    order = np.lexsort((every["word"], every["doc"], every["h"]))
+    h = every["h"][order]
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    least = np.empty(len(every), np.int64)
+    least[order] = order[new][np.cumsum(new) - 1]
+    other = every["doc"][least] != every["doc"]
+    cuts = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    out = pd.DataFrame({"chunk": pdf["chunk"], "places": [every[least[a:z][other[a:z]]].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]})
+    return out[out["places"].map(len) > 0]
+
+
+def repeated_passages(chunks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, start, length, cluster, kept_doc_id, kept) of passages; ``told`` is chunks with their repeated hashes."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                own, _ = first_places(runs(row))
+                own = own[is_repeated(own["h"], row["again"], row["buckets"])]
+                if not len(own):
+                    continue
+                at = bucket_of(own["h"], buckets)
+                order = np.argsort(at, kind="stable")
+                own, at = own[order], at[order]
+                cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+                yield pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]]), pa.array([row["chunk"]] * (len(cuts) - 1)), pa.array([own[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "chunk", "places"])
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                every = runs(row)
+                source, own = first_places(every)
+                if row["known"]:
+                    known = np.concatenate([np.frombuffer(x, PLACE) for x in row["known"]])
+                    source[np.searchsorted(source["h"], known["h"])] = known
+                out = passages(every, source[own])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.T.copy()], ["start", "length", "kept_start", "kept_length", "doc_id", "kept_doc_id"])
+
+    known = told.mapInArrow(deal, "bucket long, chunk string, places binary").groupBy("bucket").applyInPandas(_meet, "chunk string, places binary")
+    known = known.groupBy("chunk").agg(F.collect_list("places").alias("known"))
+    found = chunks.join(known, "chunk", "left").mapInArrow(copies, "start long, length long, kept_start long, kept_length long, doc_id long, kept_doc_id long")
+    found = scratch.save(found.withColumn("cluster", F.xxhash64("kept_doc_id", "kept_start", "kept_length")), "passages")
+    kept = found.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_start").alias("start"), F.col("kept_length").alias("length"), "cluster", "kept_doc_id").distinct()
+    return found.select("doc_id", "start", "length", "cluster", "kept_doc_id", F.lit(False).alias("kept")).unionAll(kept.withColumn("kept", F.lit(True)))
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 80) -> DataFrame:
-    """(doc_id, start, length, cluster, kept_doc_id, kept): the paragraphs that near-repeat in another document.
-
-    start and length are bytes of the UTF-8 text; paragraphs overlap, so a
-    longer passage is several rows.  Members of a cluster are linked by a
-    Jaccard similarity of ``share`` percent at least of their 5-word shingles
-    (A-Z lower-cased, words parted by ASCII white space).  The paragraphs in
-    the cluster's least document are kept; those in later documents are to be
-    removed.  Repeats within one document only, null and short texts, and rows
-    with a null id give no rows.  Rows of one id count as one document.
+    """(doc_id, start, length, cluster, kept_doc_id, kept): what (near-)repeats in another document.
+
+    start and length are bytes of the UTF-8 text.  A cluster holds either
+    paragraphs, linked by a Jaccard similarity of ``share`` percent at least of
+    their 5-word shingles (A-Z lower-cased, words parted by ASCII white space;
+    one of fewer words is one shingle), or a passage of ``LEAST`` words at
+    least and its copies, wherever they lie; so a place may be in several
+    rows.  The members in the cluster's least document are kept; those in
+    later documents are to be removed.  Repeats within one document only, null
+    texts, and rows with a null id give no rows.  Rows of one id count as one
+    document.
     """
     chunks = make_chunks(docs, id_col, text_col)
 
     def paragraphs(row: dict):
-        raw, offsets = texts(row)
-        for i, j, h, s, e, first in words_of_rows(raw, offsets, SPACES):
-            shift = np.arange(j - i)  # separators between the rows of a run
-            for r in range(j - i):
-                w = h[first[r] : first[r + 1]]
-                spans = cut(w)
-                if len(spans):
-                    lone = j == i + 1
-                    base = 0 if lone else offsets[i + r] - offsets[i] + shift[r]
-                    yield i + r, w, spans, s[first[r] : first[r + 1]] - base, e[first[r] : first[r + 1]] - base, raw[offsets[i + r] : offsets[i + r + 1]]
+        for r, h, s, e, raw in word_texts(row):
+            spans = units(raw, s)
+            if len(spans):
+                yield r, h, spans, s, e, raw
 
     def hashes(row: dict) -> tuple[np.ndarray, np.ndarray]:
         hs, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for r, w, spans, *_ in paragraphs(row):
-            hs.append(keys(w, spans).ravel())
-            owners.append(np.full(len(hs[-1]), row["docs"][r], np.int64))
+        for r, h, spans, *_ in paragraphs(row):
+            hs += [keys(h, spans).ravel(), grams(h, LEAST)]
+            owners.append(np.full(len(hs[-2]) + len(hs[-1]), row["docs"][r], np.int64))
         return distinct(np.concatenate(hs), np.concatenate(owners))
 
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
-    again = repeated(chunks, hashes, int(total * KEYS / 40))
+    again = scratch.save(repeated(chunks, hashes, int(total / 5)), "again")
 
     def told_again(row: dict):
         """``paragraphs``, each with a mask of those that have a repeated key."""
         found = list(paragraphs(row))
-        k = [keys(w, spans) for _, w, spans, *_ in found]
+        k = [keys(h, spans) for _, h, spans, *_ in found]
         flat = is_repeated(np.concatenate(k).ravel() if k else np.zeros(0, U), row["again"], row["buckets"]).reshape(-1, KEYS).any(axis=1)
         at = 0
         for one in found:
@@ -138,9 +245,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     told = chunks.join(again, "chunk")
     found = scratch.save(told.mapInArrow(candidates, "doc_id long, start long, length long, name long, text string"), "paragraphs")
     scratch.free(docs.sparkSession)
+    inside = repeated_passages(chunks, told, max(256, -(-int(total / 5) // BUCKET)))
+    scratch.free(docs.sparkSession)
     once = found.where("text is not null").groupBy("name").agg(F.min("text").alias("text"))
     clusters = minhash.near_duplicates(once, "name", "text", k=SHINGLE, share=share, bands=8, rows_a_band=2)
     named = found.drop("text").join(clusters.select(F.col("doc_id").alias("name"), F.col("component_id").alias("cluster")), "name").drop("name")
     least = named.groupBy("cluster").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
     out = named.join(least, "cluster")
-    return out.select("doc_id", "start", "length", "cluster", "kept_doc_id", (F.col("doc_id") == F.col("kept_doc_id")).alias("kept"))
+    return out.select("doc_id", "start", "length", "cluster", "kept_doc_id", (F.col("doc_id") == F.col("kept_doc_id")).alias("kept")).unionAll(inside)

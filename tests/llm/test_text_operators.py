@@ -176,6 +176,22 @@ def test_repeated_paragraphs_with_an_edit(spark):
     assert {r["doc_id"] for r in out} == {1, 2, 3} and {r["kept_doc_id"] for r in out} == {1}
 
 
+def test_short_copies_and_passage_edges(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    some = lambda n: " ".join(word() for _ in range(n))
+    docs, copies = {}, {}
+    for k, n in enumerate((9, 12, 16, 20, 25, 52) * 4):
+        copies[k] = some(n)
+        for side in (0, 1):
+            docs[2 * k + side] = f"{some(60)} {copies[k]} {some(60)}"
+    short = [some(1), some(3), some(4), some(8)]
+    for k, line in enumerate(short):
+        docs[100 + 2 * k], docs[101 + 2 * k] = line, f"{some(30)}\n{line.upper()}\n{some(30)}"
+    rows = {(r["doc_id"], docs[r["doc_id"]].encode()[r["start"] : r["start"] + r["length"]].decode().lower(), r["kept_doc_id"]) for r in paragraphs.repeated_paragraphs(frame(spark, docs)).collect()}
+    assert rows == {(2 * k + side, t, 2 * k) for k, t in copies.items() for side in (0, 1)} | {(100 + 2 * k + side, t, 100 + 2 * k) for k, t in enumerate(short) for side in (0, 1)}
+
+
 def test_language(spark):
     rng = random.Random(6)
     make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
