@@ -13,8 +13,9 @@ clustered by components.
 Passages are copies of ``LEAST`` words at least that lie anywhere in a text,
 across line breaks too.  Every run of ``LEAST`` words learns its first place
 in the corpus (least document, then position), and runs that continue one
-another in both texts make one passage, so it ends where the copy ends.  Runs
-are prefiltered like the keys; then only each chunk's first places of repeated
+another in both texts make one passage, so it ends where the copy ends.
+Passages of the same two documents are joined over edits if the whole has a
+Jaccard similarity at the threshold.  Runs are prefiltered like the keys; then only each chunk's first places of repeated
 runs travel, and only to buckets that are small by construction.
 """
 
@@ -112,7 +113,7 @@ def first_places(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return every[order[new]], own
 
 
-def passages(every: np.ndarray, source: np.ndarray) -> np.ndarray:
+def passages(every: np.ndarray, source: np.ndarray, share: int) -> np.ndarray:
     """(start, bytes, source's start, source's bytes, document, source) of the copies of earlier documents' text."""
     copy = source["doc"] < every["doc"]
     every, source = every[copy], source[copy]
@@ -122,11 +123,42 @@ def passages(every: np.ndarray, source: np.ndarray) -> np.ndarray:
     goes_on &= (source["word"][1:] == source["word"][:-1] + 1) | (every["h"][1:] == every["h"][:-1])
     first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
     last = np.concatenate((first[1:], [len(every)])) - 1
+    order = np.lexsort((every["word"][first], source["doc"][first], every["doc"][first]))
+    first, last = bridged(every, source, first[order], last[order], share)
     ends = lambda x: x["start"][last].astype(np.int64) + x["size"][last]
     x, y = every["start"][first].astype(np.int64), source["start"][first].astype(np.int64)
     return np.stack((x, ends(every) - x, y, ends(source) - y, every["doc"][first], source["doc"][first]), axis=1)
 
 
+def bridged(every: np.ndarray, source: np.ndarray, first: np.ndarray, last: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last runs of passages, those joined that are one near copy together with the words between them.
+
+    Passages come by document, source and position.  Shared shingles are
+    counted with their multiplicity, at the places where the copies lie.
+    """
+    more = LEAST - SHINGLE + 1  # shingles that start in a run
+    a, z = every["word"][first].astype(np.int64), every["word"][last].astype(np.int64) + more
+    b, y = source["word"][first].astype(np.int64), source["word"][last].astype(np.int64) + more
+    same = (every["doc"][first][1:] == every["doc"][first][:-1]) & (source["doc"][first][1:] == source["doc"][first][:-1]) & (a[1:] > a[:-1]) & (b[1:] > b[:-1])
+    chains = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(first)]))
+    # shingles that a passage adds to those of the one before it
+    adds = np.minimum(z - a, y - b)
+    adds[1:] = np.where(same, np.minimum(z[1:] - np.maximum(a[1:], z[:-1]), y[1:] - np.maximum(b[1:], y[:-1])), adds[1:])
+    adds = np.maximum(adds, 0)
+    starts, ends = [], []
+    for i, end in zip(chains[:-1].tolist(), chains[1:].tolist(), strict=True):
+        while i < end:
+            k = i
+            if i + 1 < end:
+                both = min(z[i] - a[i], y[i] - b[i]) + np.cumsum(adds[i + 1 : end])
+                fits = np.flatnonzero(100 * both >= share * ((z[i + 1 : end] - a[i]) + (y[i + 1 : end] - b[i]) - both))
+                k = i + 1 + int(fits[-1]) if len(fits) else i
+            starts.append(first[i])
+            ends.append(last[k])
+            i = k + 1
+    return np.array(starts), np.array(ends)
+
+
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each chunk of a bucket the first places that lie in another chunk."""
     parts = [np.frombuffer(x, PLACE) for x in pdf["places"]]
@@ -142,7 +174,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[out["places"].map(len) > 0]
 
 
-def repeated_passages(chunks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+def repeated_passages(chunks: DataFrame, told: DataFrame, buckets: int, share: int) -> DataFrame:
     """(doc_id, start, length, cluster, kept_doc_id, kept) of passages; ``told`` is chunks with their repeated hashes."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +198,7 @@ def repeated_passages(chunks: DataFrame, told: DataFrame, buckets: int) -> DataF
                 if row["known"]:
                     known = np.concatenate([np.frombuffer(x, PLACE) for x in row["known"]])
                     source[np.searchsorted(source["h"], known["h"])] = known
-                out = passages(every, source[own])
+                out = passages(every, source[own], share)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.T.copy()], ["start", "length", "kept_start", "kept_length", "doc_id", "kept_doc_id"])
 
     known = told.mapInArrow(deal, "bucket long, chunk string, places binary").groupBy("bucket").applyInPandas(_meet, "chunk string, places binary")
@@ -184,8 +216,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     paragraphs, linked by a Jaccard similarity of ``share`` percent at least of
     their 5-word shingles (A-Z lower-cased, words parted by ASCII white space;
     one of fewer words is one shingle), or a passage of ``LEAST`` words at
-    least and its copies, wherever they lie; so a place may be in several
-    rows.  The members in the cluster's least document are kept; those in
+    least and its copies, wherever they lie, equal or joined over edits at the
+    same share; so a place may be in several rows.  The members in the cluster's least document are kept; those in
     later documents are to be removed.  Repeats within one document only, null
     texts, and rows with a null id give no rows.  Rows of one id count as one
     document.
@@ -245,7 +277,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     told = chunks.join(again, "chunk")
     found = scratch.save(told.mapInArrow(candidates, "doc_id long, start long, length long, name long, text string"), "paragraphs")
     scratch.free(docs.sparkSession)
-    inside = repeated_passages(chunks, told, max(256, -(-int(total / 5) // BUCKET)))
+    inside = repeated_passages(chunks, told, max(256, -(-int(total / 5) // BUCKET)), share)
     scratch.free(docs.sparkSession)
     once = found.where("text is not null").groupBy("name").agg(F.min("text").alias("text"))
     clusters = minhash.near_duplicates(once, "name", "text", k=SHINGLE, share=share, bands=8, rows_a_band=2)

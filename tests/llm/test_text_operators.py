@@ -192,6 +192,23 @@ def test_short_copies_and_passage_edges(spark):
     assert rows == {(2 * k + side, t, 2 * k) for k, t in copies.items() for side in (0, 1)} | {(100 + 2 * k + side, t, 100 + 2 * k) for k, t in enumerate(short) for side in (0, 1)}
 
 
+def test_an_edited_paragraph_comes_whole(spark):
+    rng = random.Random(15)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    docs, wanted = {}, set()
+    for k in range(12):
+        w = some(60)
+        edited = [*w[: 15 + 2 * k], "changed", *w[16 + 2 * k :]]  # Jaccard 51 / 61
+        gap = "\n" if k < 6 else " "  # a line of its own, or inside a longer one
+        for doc, own in ((2 * k, w), (2 * k + 1, edited)):
+            docs[doc] = gap.join(" ".join(x) for x in (some(80), own, some(80)))
+            wanted.add((doc, " ".join(own)))
+    out = paragraphs.repeated_paragraphs(frame(spark, docs)).collect()
+    whole = {(r["doc_id"], docs[r["doc_id"]].encode()[r["start"] : r["start"] + r["length"]].decode()): r for r in out}
+    assert wanted <= set(whole)
+    assert all(whole[x]["kept_doc_id"] == x[0] // 2 * 2 and whole[x]["kept"] == (x[0] % 2 == 0) for x in wanted)
+
+
 def test_language(spark):
     rng = random.Random(6)
     make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
