@@ -4,8 +4,8 @@ Paragraphs are the text's own: every line with a word, however short, and in
 texts with blank lines also each block of several lines.  Each paragraph's
 5-word shingles give ``KEYS`` keys of two min-hashes, and only paragraphs with
 a key that stands elsewhere too go on (``chunks.repeated`` tells, at four
-bytes a key): of two paragraphs at the threshold 0.8 one of four keys agrees
-with probability 1 - 0.36**4 = 0.983, and equal ones always agree.  What is
+bytes a key): of two paragraphs at the threshold 0.8 one of eight keys agrees
+with probability 1 - 0.36**8 = 0.9997, as in the bands, and equal ones always agree.  What is
 left collapses to distinct paragraphs, is banded (8 bands of 2, tuned for
 recall: 1 - 0.36**8 = 0.9997 at 0.8), joined, verified by exact Jaccard, and
 clustered by components.
@@ -33,7 +33,7 @@ from . import minhash, scratch
 from .chunks import BUCKET, bucket_of, distinct, is_repeated, make_chunks, repeated, texts
 from .kernels import SPACES, U, grams, mix, powers, words_of_rows
 
-LEAST, SHINGLE, KEYS = 9, 5, 4
+LEAST, SHINGLE, KEYS = 9, 5, 8
 #: odd factors; gram hashes are mixed already, so multiplying orders them anew
 _SALTS = mix(np.arange(1, 2 * KEYS + 1, dtype=U) * U(0xE7037ED1A0B428DB)) | U(1)
 #: a run's first place: its hash, document, word, first byte and bytes

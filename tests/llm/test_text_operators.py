@@ -209,6 +209,18 @@ def test_an_edited_paragraph_comes_whole(spark):
     assert all(whole[x]["kept_doc_id"] == x[0] // 2 * 2 and whole[x]["kept"] == (x[0] % 2 == 0) for x in wanted)
 
 
+def test_the_prefilter_is_as_sensitive_as_the_bands():
+    rng = np.random.default_rng(16)
+    lost, pairs = 0, 4000
+    for _ in range(pairs):
+        w = rng.integers(1, 1 << 62, 49, dtype=np.uint64)  # 45 shingles
+        other = w.copy()
+        other[24] ^= np.uint64(1)  # 40 of 50 are shared
+        span = np.array([[0, 49]])
+        lost += not (paragraphs.keys(w, span) == paragraphs.keys(other, span)).any()
+    assert lost <= 0.002 * pairs  # 0.36**8 = 0.0003; 0.36**4 = 0.017
+
+
 def test_language(spark):
     rng = random.Random(6)
     make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
