@@ -1,21 +1,23 @@
 """Principal components of standardised columns.
 
-One aggregate gives means and the n - 1 covariance; the eigenvectors of that
-small matrix (columns squared, whatever the rows) are found on the driver.
+One aggregate gives the means, one pass of matrix products the n - 1 covariance
+(a generated aggregate of all pairs does not compile for many columns); the
+eigenvectors of that small matrix (columns squared, whatever the rows) are found on the driver.
 Signs are fixed by making each component's largest loading positive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def vector_columns(df: DataFrame, vector: str, n: int, prefix: str = "x") -> DataFrame:
-    return df.select(*(c for c in df.columns if c != vector), *(F.col(vector)[i].cast("double").alias(f"{prefix}{i}") for i in range(n)))
+    return df.select(*(c for c in df.columns if c != vector), *(F.get(vector, F.lit(i)).cast("double").alias(f"{prefix}{i}") for i in range(n)))
 
 
 class Components:
@@ -40,15 +42,30 @@ class Components:
         return df.select(*(c for c in df.columns if c not in self.names), *out)
 
 
+def _covariance(df: DataFrame, means: np.ndarray) -> np.ndarray:
+    """The n - 1 covariance of all columns, each pair over the rows that have both; a partition gives three small matrices."""
+    n = len(means)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, n, n))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) - means
+            there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float)
+            x = np.where(there > 0, x, 0.0)
+            total += x.T @ x, x.T @ there, there.T @ there
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    both, one, rows = sum(np.frombuffer(r["sums"]).reshape(3, n, n) for r in df.mapInArrow(sums, "sums binary").toLocalIterator())
+    return (both - one * one.T / rows) / (rows - 1)
+
+
 def fit(df: DataFrame, columns: Sequence[str]) -> Components:
     """All components of the rows given (the train side); columns of no variance scale by 1."""
     n = len(columns)
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    row = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)), *(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    df = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    row = df.agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(n)), *(F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(n))).first()
     means, scales = np.array([row[f"m{i}"] for i in range(n)]), np.array([row[f"s{i}"] or 1.0 for i in range(n)])
-    cov = np.zeros((n, n))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] / (scales[i] * scales[j])
+    cov = _covariance(df, means) / np.outer(scales, scales)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values, kind="stable")
     loadings = vectors[:, order].T

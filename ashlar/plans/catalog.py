@@ -526,12 +526,12 @@ def selection_summary(spark, sf_dir):
     return select.selection_summary(_ranking(spark, sf_dir))
 
 
-PCA_COLUMNS = [f"x{i}" for i in range(16)]
-
-
 def _components(spark, sf_dir):
-    df = reduce.vector_columns(_table(spark, sf_dir, "embeddings"), "embedding", 16)
-    return df, reduce.fit(df.where(F.col("vec_id") % 5 != 0), PCA_COLUMNS)
+    """All components of the vectors, learned on the train side of the split."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    n = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    train = boundary.stratified_split(vectors, "vec_id", "label").where("partition = 'train'")
+    return reduce.vector_columns(vectors, "embedding", n), reduce.fit(reduce.vector_columns(train, "embedding", n), [f"x{i}" for i in range(n)])
 
 
 @query()
