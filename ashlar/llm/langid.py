@@ -137,14 +137,16 @@ def _model(samples: dict[str, str]) -> Model:
 def sample(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", chars: int = 40_000, piece: int = 800, most_languages: int = 64) -> dict[str, str]:
     """Training text for each language: pieces of ``piece`` characters from documents in hash order, ``chars`` in all.
 
-    The bound of the model is ``chars * most_languages``; of more languages the
-    most frequent are learned.  Rows with a null text, language or id are not used.
+    Every language is learned.  The bound of the model is ``chars * most_languages``;
+    of more languages each has an equal share of it.  Rows with a null text,
+    language or id are not used.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("h"), F.col(id_col).alias("id"))
     rows = rows.where("lang is not null and text is not null and id is not null and length(text) > 0")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return {}
+    chars = min(chars, max(1, chars * most_languages // len(counts)))
     wanted = 3 * -(-chars // piece) + 20
     rates = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1000, -(-1000 * wanted // r["count"]))))))
     start = F.lit(1) + F.pmod("h", F.greatest(F.length("text") - piece, F.lit(1))).cast("int")

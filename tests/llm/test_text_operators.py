@@ -237,6 +237,17 @@ def test_language(spark):
     assert langid.identify(df.where("false"), samples).count() == 0
 
 
+def test_all_languages_are_learned(spark):
+    rng = random.Random(17)
+    lang = lambda k: "".join(chr(97 + (k * 7 + i) % 26) for i in range(2)) + chr(97 + k // 26)
+    word = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(9 * k + i, " ".join(rng.choice(word[k]) for _ in range(40)), lang(k)) for k in range(70) for i in range(9 if k < 64 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.sample(df, chars=2000)
+    assert len(samples) == len({x[2] for x in rows}) == 70 and sum(map(len, samples.values())) <= 2000 * 64
+    assert all(r["lang_pred"] == r["lang"] for r in langid.identify(df, samples, "text").collect())
+
+
 def test_longest_matches_of_the_automaton():
     text = "abracadabra"
     to = langid.suffix_automaton([ord(c) for c in text])
