@@ -38,7 +38,8 @@ def _stage(f: Stage) -> Stage:
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents written in some language; rejects null texts and texts without a letter."""
-    samples = langid.sample(docs.where(~queries.held_out()))
+    # where nothing can be trained on, any letter makes a text one of the only language
+    samples = langid.sample(docs.where(~queries.held_out())) or {"any": "a"}
     judged = langid.identify(docs, samples)
     return judged.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 

@@ -155,6 +155,13 @@ def test_pipeline(spark, tmp_path):
         assert np.frombuffer(b"".join(x for _, x in sorted(got[i])), "<u4").tolist() == [*whole(t), 1]
 
 
+def test_pipeline_stage_without_labels(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "Clean text of words", None), (2, None, None), (3, "123 !!", None), (4, "Ещё текст", None), (5, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "").collect()} == {1, 4}
+
+
 def test_stage_names():
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"]
