@@ -59,7 +59,7 @@ class _Block:
         if isinstance(names, pa.ChunkedArray):
             names = names.combine_chunks()
         self.names = names.dictionary.to_pylist()
-        item = np.asarray(names.indices)
+        item = np.asarray(names.indices.fill_null(-1))
         length, full, least = (np.asarray(table.column(c).combine_chunks()) for c in ("length", "hash", "print"))
         full, least = full.astype(U), least.astype(U)
         self.prints = np.unique(least[length == window])
@@ -99,7 +99,7 @@ class _Block:
             for k in np.flatnonzero(lo < hi):
                 hit[at[k] : at[k] + n] = True
             for a, z in set(zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True)):
-                items.update(self.names[x] for x in item[a:z])
+                items.update(self.names[x] for x in item[a:z] if x >= 0)
         return hit, items
 
 
@@ -123,7 +123,7 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[k] == x
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, unnamed: bool = False) -> DataFrame:
     """``docs`` plus n_words, n_hit (long), hit_spans (array<int>), hit_items (array<string>), contaminated.
 
     Words are runs of digits, letters and code points from U+0080 on, A-Z
@@ -131,14 +131,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     fewer words is one window, one without words has none.  n_hit counts the
     document's words inside any occurrence of a window; hit_spans lists them as
     start, end, start, end ... in words; hit_items are the items with occurring
-    windows.  Null texts have no words, items with a null id are left out, rows
-    of one item id count as one item.  Columns of ``docs`` named like an output
+    windows.  Null texts have no words, rows of one item id count as one item.
+    Items with a null id are left out; with ``unnamed`` they count in n_hit,
+    hit_spans and contaminated, and are left out of hit_items only.  Columns of ``docs`` named like an output
     are replaced, all others pass through.
     """
     spark = docs.sparkSession
     made = ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated"]
     docs = docs.drop(*made)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null" if unnamed else "item_id is not null and text is not null")
     windows = scratch.save(item_windows(items, window, gram), "windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     state = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")})

@@ -83,7 +83,7 @@ def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    out = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"), unnamed=True)
     names = F.concat_ws(",", F.array_sort("hit_items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 

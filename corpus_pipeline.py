@@ -65,7 +65,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    judged = decontaminate.contamination(docs, benchmark)
+    judged = decontaminate.contamination(docs, benchmark, unnamed=True)
     return judged.where(~F.col("contaminated")).select(*docs.columns)
 
 

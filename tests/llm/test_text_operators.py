@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ashlar.llm import components, decontaminate, kernels, langid, linededup, minhash, paragraphs, suffix, urlfilter
+from ashlar.llm import components, decontaminate, kernels, langid, linededup, minhash, paragraphs, queries, suffix, urlfilter
 
 from . import brute
 
@@ -125,6 +125,19 @@ def test_contamination(spark, docs, block, monkeypatch):
         assert r["contaminated"] == (r["n_hit"] > 0) and sum(r["hit_spans"][1::2]) - sum(r["hit_spans"][::2]) == r["n_hit"]
 
 
+def test_contamination_by_items_without_an_id(spark, docs, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    items = [(None, docs[0]), (1, "two words"), (None, docs[3]), (10, docs[3])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: (hit, len(set(names) - {"None"})) for i, (_, hit, names) in brute.contamination(docs, items).items()}
+    assert any(hit and not n for hit, n in want.values())
+    out = queries.op10_decontamination(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in out} == want and all(r["contaminated"] == (r["n_hit"] > 0) for r in out)
+    kept = corpus_pipeline.decontaminated(spark, frame(spark, docs), str(tmp_path)).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == {i for i, (hit, _) in want.items() if not hit}
+
+
 def test_contamination_by_nothing(spark, docs):
     out = decontaminate.contamination(frame(spark, docs), spark.createDataFrame([], "item_id long, text string"))
     assert out.where("contaminated").count() == 0 and out.count() == len(docs)
