@@ -115,15 +115,20 @@ def branching(df: DataFrame, dependent: str, filter_label: str, prefixes: Sequen
     return out.select(F.lit(dependent).alias("dependent_col"), F.lit(filter_label).alias("filter_col"), "*", (F.col("mismatch_n") == 0).alias("exact_mask_match"), kind.alias("classification"))
 
 
-def null_cooccurrence(df: DataFrame, columns: Sequence[str], least_pct: float = 0.0, top: int | None = None) -> DataFrame:
-    """Shared nulls of all column pairs by one aggregate of pairwise sums; quadratic in columns, never in rows."""
+def null_cooccurrence(df: DataFrame, columns: Sequence[str], least_pct: float = 0.0, top: int | None = None, always: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Shared nulls of all column pairs by one aggregate of pairwise sums; quadratic in columns, never in rows.
+
+    Given back are the pairs that share ``least_pct`` at least, and those of ``always``.
+    """
     pairs = list(combinations(columns, 2))
     null = {c: F.col(c).isNull() for c in columns}
     rows = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.count_if(null[a]).alias("missing_a"), F.count_if(null[b]).alias("missing_b"), F.count_if(null[a] & null[b]).alias("both_missing")) for a, b in pairs]
     out = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
     a, b, both = (F.col(c).cast("double") for c in ("missing_a", "missing_b", "both_missing"))
     out = out.withColumns({"missing_a_shared_pct": 100 * ratio(both, a), "missing_b_shared_pct": 100 * ratio(both, b), "jaccard_missing": ratio(both, a + b - both)})
-    out = out.withColumn("min_shared_pct", F.least("missing_a_shared_pct", "missing_b_shared_pct")).where(F.col("min_shared_pct") >= least_pct)
+    out = out.withColumn("min_shared_pct", F.least("missing_a_shared_pct", "missing_b_shared_pct"))
+    asked = [(F.col("column_a") == x) & (F.col("column_b") == y) for x, y in always]
+    out = out.where(reduce(lambda a, b: a | b, asked, F.col("min_shared_pct") >= least_pct))
     return out.orderBy(F.desc("min_shared_pct"), F.desc("both_missing"), "column_a", "column_b").limit(top) if top else out
 
 

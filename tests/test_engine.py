@@ -67,6 +67,12 @@ def test_branching_classes(spark):
     assert rows(quality.branching(none, "d", "l"))[0]["classification"] == "NO_IDENTIFICABLE"
 
 
+def test_null_cooccurrence_keeps_the_pairs_asked_for(spark):
+    df = spark.createDataFrame([(None, 1, None, None), (None, 1, None, None), (1, None, 1, None), (1, 1, 1, None)], "q1 int, q4 int, q3 int, q5 int")
+    out = rows(quality.null_cooccurrence(df, ["q1", "q3", "q4", "q5"], least_pct=80.0, top=50, always=[("q4", "q5")]))
+    assert [(r["column_a"], r["column_b"], r["min_shared_pct"]) for r in out] == [("q1", "q3", 100.0), ("q4", "q5", 25.0)]
+
+
 def test_label_days(spark):
     df = spark.createDataFrame([("1 día",), ("3  DÍAS ",), ("Dato perdido",)], "l string").select(scalar.days_of_label(F.col("l")).alias("d"))
     assert [r["d"] for r in df.collect()] == [1, 3, None]
