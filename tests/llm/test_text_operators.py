@@ -295,3 +295,43 @@ def test_sketches_together_equal_sketches_alone(t):
     both = minhash.sketches(np.concatenate(sets), np.array([len(s) for s in sets]), t)
     assert all((minhash.sketch(s, t) == row).all() for s, row in zip(sets, both, strict=True))
     assert both.max() < np.iinfo(np.uint64).max
+
+
+def test_longest_previous_factors_against_a_plain_version():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        length = int(rng.integers(3, 20))
+        counts, docs = rng.integers(1, 40, 4), rng.integers(0, 3, 4)
+        data = np.concatenate([rng.integers(97, 99, c + length - 1).astype(np.uint8) for c in counts])
+        found, at = [], 0
+        for c, doc in zip(counts.tolist(), docs.tolist(), strict=True):
+            found += [(doc, bytes(data[at + i : at + i + length]), at + i) for i in range(c)]
+            at += c + length - 1
+        order, common = suffix.suffix_order(data, np.array([x[2] for x in found]), length)
+        ordered = [found[k][1] for k in order]
+        alike = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+        assert ordered == sorted(ordered) and common[1:].tolist() == [alike(a, b) for a, b in zip(ordered[1:], ordered[:-1], strict=True)]
+        want = [max([alike(w, v) for other, v, _ in found if other < doc], default=0) for doc, w, _ in found]
+        out = suffix.previous_factors(docs, counts, data, length)
+        assert out.tolist() == [x if x >= length else 0 for x in want]
+        lowest = suffix.previous_smaller(np.repeat(docs, counts)[order], common, 1)
+        after = suffix.previous_smaller(np.repeat(docs, counts)[order][::-1], np.concatenate(([0], common[:0:-1])), 1)[::-1]
+        assert np.maximum(lowest, after)[np.argsort(order)].tolist() == want
+
+
+def test_repeated_spans_of_hot_anchors(spark, docs, monkeypatch):
+    from ashlar.llm import chunks
+
+    monkeypatch.setattr(suffix, "HOT", 2)
+    monkeypatch.setattr(chunks, "CHUNK", 600)
+    many = docs | {1000 + i: docs[i % 20] for i in range(40)}
+    out = {r["doc_id"]: r for r in suffix.repeated_spans(frame(spark, many, 6)).collect()}
+    for i, (n, kept) in brute.repeated_bytes(many).items():
+        assert (out[i]["n_bytes"], bytes(out[i]["kept"])) == (n, kept)
+
+
+def test_passages_inside_removed_paragraphs():
+    found = np.array([[5, 10, 0, 0, 7, 1], [5, 11, 0, 0, 7, 1], [0, 3, 0, 0, 9, 1], [5, 10, 0, 0, 8, 1]])
+    gone = [{"doc_id": 7, "start": 2, "length": 13}, {"doc_id": 7, "start": 4, "length": 3}, {"doc_id": 9, "start": 1, "length": 50}]
+    assert paragraphs.inside(found, gone).tolist() == [True, False, False, False]
+    assert not paragraphs.inside(found, None).any() and len(paragraphs.inside(found[:0], gone)) == 0
