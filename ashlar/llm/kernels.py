@@ -1,10 +1,10 @@
 """Vectorised text kernels over Arrow string buffers.
 
-Words are hashed straight from the UTF-8 bytes: a prefix sum of
-``code[byte] * P**position`` (mod 2**64) gives every word's polynomial hash by
-one subtraction, and multiplying by ``P**-start`` makes it independent of the
-position.  ``code`` gives A-Z the codes of a-z, so lower-casing is free.  All
-temporaries are bounded by ``BLOCK`` bytes of text, whatever a text's length.
+Words are hashed straight from the UTF-8 bytes, A-Z lower-cased, eight bytes at
+a time: each lane goes through a bijective mixer before the next one is added,
+so no two words collide by their structure, as they do under polynomials mod
+2**64.  Words of more than ``LANES`` lanes are hashed by xxh3.  All temporaries
+are bounded by ``BLOCK`` bytes of text, whatever a text's length.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 BLOCK = 1 << 20
@@ -30,13 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _codes() -> np.ndarray:
-    code = mix(np.arange(1, 257, dtype=U) * U(0x2545F4914F6CDD1D))
-    code[65:91] = code[97:123]
-    return code
-
-
-CODES = _codes()
+LANES = 16
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: by the bytes that are left in a word: what of a lane belongs to it
+_MASK = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(9)], U)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -90,18 +89,32 @@ def _word_block(raw: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(edge) % 2:
         edge = np.concatenate((edge, [len(raw)]))
     starts, ends = edge[::2], edge[1::2]
-    up, down = powers()
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum(CODES[raw] * up[: len(raw)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U) * _Q), starts, ends
+    return _hashes(LOWER[raw], starts, ends - starts), starts, ends
+
+
+def _hashes(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the words at ``starts`` of lower-cased bytes."""
+    padded = np.concatenate((low, np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(low) + 1, "<u8", padded.data, 0, (1,))  # the eight bytes from every place on
+    h = mix(sizes.astype(U) * _Q + U(1))
+    at, left, own = starts, sizes, slice(None)
+    for k in range(LANES):
+        h[own] = mix((h[own] * _Q) ^ (lanes[at] & _MASK[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h
+        own = more if k == 0 else own[more]
+        at, left = at[more] + 8, left[more] - 8
+    for w in own.tolist():
+        h[w] = xxhash.xxh3_64_intdigest(low[starts[w] : starts[w] + sizes[w]])
+    return h
 
 
 def words(raw: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word of one byte string, in order.
 
-    Works in blocks that end at a separator; a single word longer than a block
-    is hashed by pieces, chained.
+    Works in blocks that end at a separator; a word longer than a block is
+    hashed on its own.
     """
     if len(raw) <= BLOCK:
         return _word_block(raw, table)
@@ -131,12 +144,12 @@ def _long_word(raw: np.ndarray, at: int, table: np.ndarray) -> tuple[int, int]:
             end += int(breaks[0])
             break
         end = min(end + BLOCK, len(raw))
-    h = 0
-    none = np.zeros(256, bool)
+    if end - at <= 8 * LANES:
+        return end, int(_hashes(LOWER[raw[at:end]], np.zeros(1, np.int64), np.array([end - at]))[0])
+    h = xxhash.xxh3_64()
     for k in range(at, end, BLOCK):
-        piece, _, _ = _word_block(raw[k : min(k + BLOCK, end)], none)
-        h = (h * int(_Q) + int(piece[0]) + 1) % (1 << 64)
-    return end, h
+        h.update(LOWER[raw[k : min(k + BLOCK, end)]])
+    return end, h.intdigest()
 
 
 def groups(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:

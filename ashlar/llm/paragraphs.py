@@ -15,8 +15,11 @@ across line breaks too.  Every run of ``LEAST`` words learns its first place
 in the corpus (least document, then position), and runs that continue one
 another in both texts make one passage, so it ends where the copy ends.
 Passages of the same two documents are joined over edits if the whole has a
-Jaccard similarity at the threshold.  Runs are prefiltered like the keys; then only each chunk's first places of repeated
-runs travel, and only to buckets that are small by construction.
+Jaccard similarity at the threshold.  Runs are prefiltered like the keys; then
+only each chunk's first places of repeated runs travel, column by column and
+compressed, to buckets that are small by construction; a bucket answers with
+the number of a place and the earlier place it has found.  The chunks
+themselves are bucketed and never shuffled again.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import minhash, scratch
-from .chunks import BUCKET, bucket_of, distinct, is_repeated, make_chunks, repeated, texts
-from .kernels import SPACES, U, grams, mix, powers, words_of_rows
+from . import hot, minhash, scratch
+from .chunks import BUCKET, bucket_of, distinct, is_repeated, make_chunks, pack, repeated, rows_of, texts, unpack
+from .kernels import SPACES, U, grams, mix, words_of_rows
 
 LEAST, SHINGLE, KEYS = 9, 5, 8
 #: odd factors; gram hashes are mixed already, so multiplying orders them anew
@@ -40,67 +44,106 @@ _SALTS = mix(np.arange(1, 2 * KEYS + 1, dtype=U) * U(0xE7037ED1A0B428DB)) | U(1)
 PLACE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("word", "<i4"), ("start", "<i4"), ("size", "<i4")])
 
 
-def units(raw: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """(first, end) words of the paragraphs of a text whose words start at bytes s."""
-    if not len(s):
-        return np.zeros((0, 2), np.int64)
-    line = np.searchsorted(np.flatnonzero(raw == 10), s)
-    step = np.diff(line)
-    at = np.concatenate(([0], np.flatnonzero(step) + 1, [len(s)]))
-    out = np.stack((at[:-1], at[1:]), axis=1)
-    if (step > 1).any():
-        at = np.concatenate(([0], np.flatnonzero(step > 1) + 1, [len(s)]))
-        blocks = np.stack((at[:-1], at[1:]), axis=1)
-        out = np.concatenate((out, blocks[line[blocks[:, 1] - 1] > line[blocks[:, 0]]]))
-    return out
+class Words:
+    """The words of a run of a chunk's texts, one after the other.
+
+    ``text`` numbers the texts in the chunk; starts and ends are bytes of the
+    text; ``breaks`` counts the line breaks before each word, with two more
+    between texts.
+    """
+
+    def __init__(self, i: int, j: int, h: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
+        self.h, self.text = h, np.repeat(np.arange(i, j), np.diff(first))
+        within = np.flatnonzero(raw[offsets[i] : offsets[j]] == 10)
+        if j > i + 1:  # separators stand between the texts of a run
+            within = within + np.searchsorted(offsets[i + 1 : j] - offsets[i], within, "right")
+        self.breaks = np.searchsorted(within, s) + 2 * (self.text - i)
+        base = (offsets[self.text] - offsets[i] + (self.text - i)) if j > i + 1 else 0
+        self.start, self.end = s - base, e - base
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of k words that lie in one text, and their first words."""
+        inside = np.flatnonzero(self.text[: len(self.text) - k + 1] == self.text[k - 1 :]) if len(self.h) >= k else np.zeros(0, np.int64)
+        return grams(self.h, k)[inside], inside
+
+    def units(self) -> np.ndarray:
+        """(first, end) words of the paragraphs: lines, and the blocks of several lines of texts with blank lines."""
+        if not len(self.h):
+            return np.zeros((0, 2), np.int64)
+        step = np.diff(self.breaks)
+        new = self.text[1:] != self.text[:-1]
+        lines = _between(np.flatnonzero((step > 0) | new) + 1, len(self.h))
+        parted = np.unique(self.text[1:][(step > 1) & ~new])
+        if not len(parted):
+            return lines
+        blocks = _between(np.flatnonzero((step > 1) | new) + 1, len(self.h))
+        several = self.breaks[blocks[:, 1] - 1] > self.breaks[blocks[:, 0]]
+        return np.concatenate((lines, blocks[several & np.isin(self.text[blocks[:, 0]], parted)]))
+
+
+def _between(cuts: np.ndarray, n: int) -> np.ndarray:
+    at = np.concatenate(([0], cuts, [n]))
+    return np.stack((at[:-1], at[1:]), axis=1)
 
 
 def keys(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """KEYS keys of each paragraph, each of two min-hashes of its shingles; one of fewer words is one shingle."""
     out = np.empty((len(spans), KEYS), U)
-    short = spans[:, 1] - spans[:, 0] < SHINGLE
-    if short.any():
-        out[short] = names(h, spans[short])[:, None]
-    if not short.all():
-        own, g = spans[~short], grams(h, SHINGLE)
+    size = spans[:, 1] - spans[:, 0]
+    for n in range(1, SHINGLE):
+        short = np.flatnonzero(size == n)
+        if len(short):
+            out[short] = grams(h, n)[spans[short, 0]][:, None]
+    full = size >= SHINGLE
+    if full.any():
+        own, g = spans[full], np.append(grams(h, SHINGLE), U(0))
         at = np.stack((own[:, 0], own[:, 1] - SHINGLE + 1), axis=1).ravel()
-        end = np.full(1, np.iinfo(U).max, U)
-        least = [np.minimum.reduceat(np.concatenate((g * s, end)), at)[::2] for s in _SALTS]
-        out[~short] = np.stack([mix(mix(least[2 * k] ^ _SALTS[k]) + least[2 * k + 1]) for k in range(KEYS)], axis=1)
+        least = [np.minimum.reduceat(g * s, at)[::2] for s in _SALTS]
+        out[full] = np.stack([mix(mix(least[2 * k] ^ _SALTS[k]) + least[2 * k + 1]) for k in range(KEYS)], axis=1)
     return out
 
 
-def names(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """A hash of each paragraph's word sequence, from prefix sums as for words."""
-    if len(h) > len(powers()[0]):
-        return np.array([grams(h[a:z], z - a)[0] for a, z in spans.tolist()], U)
-    up, down = powers()
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[spans[:, 1]] - total[spans[:, 0]]) * down[spans[:, 0]] + (spans[:, 1] - spans[:, 0]).astype(U))
+def names(h: np.ndarray, spans: np.ndarray) -> list[int]:
+    """A hash of each paragraph's word sequence."""
+    return np.array([xxhash.xxh3_64_intdigest(h[a:z].tobytes()) for a, z in spans.tolist()], U).astype(np.int64).tolist()
 
 
-def word_texts(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(place in the chunk, word hashes, starts, ends, bytes) of each text; starts and ends are bytes of the text."""
+def word_runs(row: dict) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
+    """The words of a chunk's texts run by run, with the chunk's bytes and offsets."""
     raw, offsets = texts(row)
     for i, j, h, s, e, first in words_of_rows(raw, offsets, SPACES):
-        for r in range(j - i):
-            base = 0 if j == i + 1 else offsets[i + r] - offsets[i] + r  # separators between the rows of a run
-            a, z = first[r], first[r + 1]
-            yield i + r, h[a:z], s[a:z] - base, e[a:z] - base, raw[offsets[i + r] : offsets[i + r + 1]]
+        yield Words(i, j, h, s, e, first, raw, offsets), raw, offsets
 
 
 def runs(row: dict) -> np.ndarray:
     """All runs of LEAST words of a chunk, by document, text and position."""
-    out = [np.zeros(0, PLACE)]
-    found = sorted(word_texts(row), key=lambda x: row["docs"][x[0]])
-    for r, h, s, e, _ in found:
-        if len(h) >= LEAST:
-            own = np.empty(len(h) - LEAST + 1, PLACE)
-            own["h"], own["doc"], own["word"], own["start"] = grams(h, LEAST), row["docs"][r], np.arange(len(own)), s[: len(own)]
-            own["size"] = e[LEAST - 1 :] - s[: len(own)]
-            out.append(own)
-    return np.concatenate(out)
+    out, docs = [np.zeros(0, PLACE)], np.array(row["docs"], np.int64)
+    for w, _, _ in word_runs(row):
+        h, at = w.grams(LEAST)
+        own = np.empty(len(h), PLACE)
+        first = np.searchsorted(w.text, w.text[at])
+        own["h"], own["doc"], own["word"], own["start"], own["size"] = h, docs[w.text[at]], at - first, w.start[at], w.end[at + LEAST - 1] - w.start[at]
+        out.append(own)
+    every = np.concatenate(out)
+    return every if (np.diff(every["doc"]) >= 0).all() else every[np.argsort(every["doc"], kind="stable")]
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Places column by column, the positions as differences, compressed."""
+    steps = lambda x: np.diff(x, prepend=x[:0].dtype.type(0)).tobytes()
+    return pack(b"".join((places["h"].tobytes(), steps(places["doc"]), steps(places["word"]), steps(places["start"]), places["size"].tobytes())))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = unpack(data)
+    n = len(raw) // PLACE.itemsize
+    out, at = np.empty(n, PLACE), 0
+    for name in PLACE.names:
+        kind = PLACE[name]
+        own = np.frombuffer(raw, kind, n, at)
+        out[name] = np.cumsum(own, dtype=kind) if name in ("doc", "word", "start") else own
+        at += n * kind.itemsize
+    return out
 
 
 def first_places(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +203,8 @@ def bridged(every: np.ndarray, source: np.ndarray, first: np.ndarray, last: np.n
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk of a bucket the first places that lie in another chunk."""
-    parts = [np.frombuffer(x, PLACE) for x in pdf["places"]]
+    """For each chunk of a bucket: which of its places have an earlier one in another document, and that place."""
+    parts = [unpacked(x) for x in pdf["places"]]
     every = np.concatenate(parts)
     order = np.lexsort((every["word"], every["doc"], every["h"]))
     h = every["h"][order]
@@ -169,41 +212,75 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     least = np.empty(len(every), np.int64)
     least[order] = order[new][np.cumsum(new) - 1]
     other = every["doc"][least] != every["doc"]
+    every["h"] = 0  # the chunk knows it
     cuts = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-    out = pd.DataFrame({"chunk": pdf["chunk"], "places": [every[least[a:z][other[a:z]]].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]})
-    return out[out["places"].map(len) > 0]
-
-
-def repeated_passages(chunks: DataFrame, told: DataFrame, buckets: int, share: int) -> DataFrame:
-    """(doc_id, start, length, cluster, kept_doc_id, kept) of passages; ``told`` is chunks with their repeated hashes."""
+    which, places = [], []
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        own = np.flatnonzero(other[a:z])
+        which.append(pack(np.diff(own, prepend=0).astype("<i4").tobytes()) if len(own) else None)
+        places.append(packed(every[least[a:z][own]]) if len(own) else None)
+    return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "which": which, "places": places}).dropna()
+
+
+def _dealt(row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a chunk, first places, each run's first place, which of these are repeated, in order of bucket and position, and their buckets."""
+    every = runs(row)
+    source, own = first_places(every)
+    which = np.flatnonzero(is_repeated(source["h"], row["again"], row["buckets"])[0])
+    at = bucket_of(source["h"][which], buckets)
+    order = np.lexsort((source["word"][which], source["doc"][which], at))
+    return every, source, own, which[order], at[order]
+
+
+def inside(found: np.ndarray, gone: list[dict] | None) -> np.ndarray:
+    """Which passages lie within a paragraph that is ``gone`` from their document already."""
+    if not gone or not len(found):
+        return np.zeros(len(found), bool)
+    doc, a, n = (np.array([x[c] for x in gone], np.int64) for c in ("doc_id", "start", "length"))
+    docs, number = np.unique(np.concatenate((doc, found[:, 4])), return_inverse=True)
+    far = int(max((a + n).max(), (found[:, 0] + found[:, 1]).max())) + 1  # documents lie one after the other
+    base, own = number[: len(doc)] * far, number[len(doc) :] * far
+    order = np.argsort(base + a)
+    reach = np.maximum.accumulate((base + a + n)[order])
+    at = np.searchsorted((base + a)[order], own + found[:, 0], "right") - 1
+    return (at >= 0) & (reach[at] >= own + found[:, 0] + found[:, 1])
+
+
+def repeated_passages(told: DataFrame, gone: DataFrame, buckets: int, share: int) -> DataFrame:
+    """(doc_id, start, length, cluster, kept_doc_id, kept) of passages.
+
+    ``told`` is chunks with their repeated hashes, ``gone`` the paragraphs
+    (chunk, doc_id, start, length) that are to be removed anyway.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                own, _ = first_places(runs(row))
-                own = own[is_repeated(own["h"], row["again"], row["buckets"])]
-                if not len(own):
+            for row in rows_of(b):
+                _, source, _, which, at = _dealt(row, buckets)
+                if not len(which):
                     continue
-                at = bucket_of(own["h"], buckets)
-                order = np.argsort(at, kind="stable")
-                own, at = own[order], at[order]
                 cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
-                yield pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]]), pa.array([row["chunk"]] * (len(cuts) - 1)), pa.array([own[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "chunk", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, row["chunk"], np.int64)), pa.array([packed(source[which[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "chunk", "places"])
+        scratch.trim()
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                every = runs(row)
-                source, own = first_places(every)
-                if row["known"]:
-                    known = np.concatenate([np.frombuffer(x, PLACE) for x in row["known"]])
-                    source[np.searchsorted(source["h"], known["h"])] = known
+            for row in rows_of(b):
+                every, source, own, which, at = _dealt(row, buckets)
+                for x in row["known"] or ():
+                    mine = which[np.searchsorted(at, x["bucket"]) + np.cumsum(np.frombuffer(unpack(x["which"]), "<i4"))]
+                    places = unpacked(x["places"])
+                    places["h"] = source["h"][mine]
+                    source[mine] = places
                 out = passages(every, source[own], share)
+                out = out[~inside(out, row["gone"])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.T.copy()], ["start", "length", "kept_start", "kept_length", "doc_id", "kept_doc_id"])
+        scratch.trim()
 
-    known = told.mapInArrow(deal, "bucket long, chunk string, places binary").groupBy("bucket").applyInPandas(_meet, "chunk string, places binary")
-    known = known.groupBy("chunk").agg(F.collect_list("places").alias("known"))
-    found = chunks.join(known, "chunk", "left").mapInArrow(copies, "start long, length long, kept_start long, kept_length long, doc_id long, kept_doc_id long")
+    known = told.mapInArrow(deal, "bucket long, chunk long, places binary").groupBy("bucket").applyInPandas(_meet, "chunk long, bucket long, which binary, places binary")
+    known = known.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "which", "places")).alias("known"))
+    gone = gone.groupBy("chunk").agg(F.collect_list(F.struct("doc_id", "start", "length")).alias("gone"))
+    found = told.join(known, "chunk", "left").join(gone, "chunk", "left").mapInArrow(copies, "start long, length long, kept_start long, kept_length long, doc_id long, kept_doc_id long")
     found = scratch.save(found.withColumn("cluster", F.xxhash64("kept_doc_id", "kept_start", "kept_length")), "passages")
     kept = found.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_start").alias("start"), F.col("kept_length").alias("length"), "cluster", "kept_doc_id").distinct()
     return found.select("doc_id", "start", "length", "cluster", "kept_doc_id", F.lit(False).alias("kept")).unionAll(kept.withColumn("kept", F.lit(True)))
@@ -217,71 +294,71 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their 5-word shingles (A-Z lower-cased, words parted by ASCII white space;
     one of fewer words is one shingle), or a passage of ``LEAST`` words at
     least and its copies, wherever they lie, equal or joined over edits at the
-    same share; so a place may be in several rows.  The members in the cluster's least document are kept; those in
-    later documents are to be removed.  Repeats within one document only, null
+    same share.  A passage inside a paragraph that is removed anyway is not told
+    again; else a place may be in several rows.  The members in the cluster's
+    least document are kept; those in later documents are to be removed.  Repeats within one document only, null
     texts, and rows with a null id give no rows.  Rows of one id count as one
     document.
     """
     chunks = make_chunks(docs, id_col, text_col)
 
-    def paragraphs(row: dict):
-        for r, h, s, e, raw in word_texts(row):
-            spans = units(raw, s)
-            if len(spans):
-                yield r, h, spans, s, e, raw
-
     def hashes(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        hs, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for r, h, spans, *_ in paragraphs(row):
-            hs += [keys(h, spans).ravel(), grams(h, LEAST)]
-            owners.append(np.full(len(hs[-2]) + len(hs[-1]), row["docs"][r], np.int64))
+        docs, hs, owners = np.array(row["docs"], np.int64), [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for w, _, _ in word_runs(row):
+            spans = w.units()
+            if len(spans):
+                h, at = w.grams(LEAST)
+                hs += [keys(w.h, spans).ravel(), h]
+                owners += [np.repeat(docs[w.text[spans[:, 0]]], KEYS), docs[w.text[at]]]
         return distinct(np.concatenate(hs), np.concatenate(owners))
 
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     again = scratch.save(repeated(chunks, hashes, int(total / 5)), "again")
-
-    def told_again(row: dict):
-        """``paragraphs``, each with a mask of those that have a repeated key."""
-        found = list(paragraphs(row))
-        k = [keys(h, spans) for _, h, spans, *_ in found]
-        flat = is_repeated(np.concatenate(k).ravel() if k else np.zeros(0, U), row["again"], row["buckets"]).reshape(-1, KEYS).any(axis=1)
-        at = 0
-        for one in found:
-            yield *one, flat[at : at + len(one[2])]
-            at += len(one[2])
+    scratch.free(docs.sparkSession)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                if not row["again"]:
-                    continue
+            for row in rows_of(b):
+                every = np.array(row["docs"], np.int64)
                 doc, start, size, name, text = [], [], [], [], []
                 seen = set()
-                for r, w, spans, s, e, raw, again_too in told_again(row):
-                    own = spans[again_too]
+                for w, raw, offsets in word_runs(row):
+                    spans = w.units()
+                    if not len(spans):
+                        continue
+                    told = is_repeated(keys(w.h, spans).ravel(), row["again"], row["buckets"])[0]
+                    own = spans[told.reshape(-1, KEYS).any(axis=1)]
                     if not len(own):
                         continue
-                    x, y, h = s[own[:, 0]], e[own[:, 1] - 1], names(w, own).astype(np.int64).tolist()
-                    doc.append(np.full(len(own), row["docs"][r]))
+                    which, x, y, h = w.text[own[:, 0]], w.start[own[:, 0]], w.end[own[:, 1] - 1], names(w.h, own)
+                    doc.append(every[which])
                     start.append(x)
                     size.append(y - x)
                     name += h
-                    for k, a, z in zip(h, x.tolist(), y.tolist(), strict=True):
-                        text.append(None if k in seen else raw[a:z].tobytes().decode("utf-8", "replace"))
+                    for k, r, a, z in zip(h, which.tolist(), x.tolist(), y.tolist(), strict=True):
+                        text.append(None if k in seen else raw[offsets[r] + a : offsets[r] + z].tobytes().decode("utf-8", "replace"))
                         seen.add(k)
                 if not name:
                     continue
                 doc, start, size = (np.concatenate(x).astype(np.int64) for x in (doc, start, size))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc, start, size, name)), pa.array(text, pa.string())], ["doc_id", "start", "length", "name", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), row["chunk"], np.int64)), *(pa.array(x, pa.int64()) for x in (doc, start, size, name)), pa.array(text, pa.string())], ["chunk", "doc_id", "start", "length", "name", "text"])
+        scratch.trim()
 
     told = chunks.join(again, "chunk")
-    found = scratch.save(told.mapInArrow(candidates, "doc_id long, start long, length long, name long, text string"), "paragraphs")
-    scratch.free(docs.sparkSession)
-    inside = repeated_passages(chunks, told, max(256, -(-int(total / 5) // BUCKET)), share)
+    found = scratch.save(told.mapInArrow(candidates, "chunk long, doc_id long, start long, length long, name long, text string"), "paragraphs")
     scratch.free(docs.sparkSession)
     once = found.where("text is not null").groupBy("name").agg(F.min("text").alias("text"))
     clusters = minhash.near_duplicates(once, "name", "text", k=SHINGLE, share=share, bands=8, rows_a_band=2)
-    named = found.drop("text").join(clusters.select(F.col("doc_id").alias("name"), F.col("component_id").alias("cluster")), "name").drop("name")
-    least = named.groupBy("cluster").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
-    out = named.join(least, "cluster")
-    return out.select("doc_id", "start", "length", "cluster", "kept_doc_id", (F.col("doc_id") == F.col("kept_doc_id")).alias("kept")).unionAll(inside)
+    # hot names and clusters hold many places, so each is counted before it is met
+    count = found.groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
+    clusters = scratch.save(count.join(clusters.select(F.col("doc_id").alias("name"), F.col("component_id").alias("cluster")), "name"), "clusters")
+    least = clusters.groupBy("cluster").agg(F.min("least").alias("kept_doc_id"), F.max("last").alias("last")).where("kept_doc_id < last").drop("last")
+    named = scratch.save(clusters.select("name", "n", "cluster").join(least, "cluster"), "names")
+    out = hot.join(found.drop("text"), named, ["name"], "n").drop("name")
+    out = scratch.save(out.withColumn("kept", F.col("doc_id") == F.col("kept_doc_id")), "reported")
+    scratch.discard(found)
+    scratch.free(docs.sparkSession)
+    within = repeated_passages(told, out.where("not kept"), max(256, -(-int(total / 5) // BUCKET)), share)
+    scratch.discard(chunks, again)
+    scratch.free(docs.sparkSession)
+    return out.select("doc_id", "start", "length", "cluster", "kept_doc_id", "kept").unionAll(within)
