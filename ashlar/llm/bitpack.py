@@ -144,7 +144,7 @@ class Reader:
         self.file.close()
 
 
-def write_ids(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False, partitions: int | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Write the ids of all documents in ascending id order; returns (path, n_docs, n_ids, base) of the files.
 
     Texts are range-partitioned by id, so file k holds smaller ids than file
@@ -162,7 +162,7 @@ def write_ids(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, id
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, t, out = TaskContext.get(), tokenizer(tokenizer_file, spaced), None
+        task, t, out = TaskContext.get(), tokenizer(tokenizer_file), None
         end, where = np.array([end_id], "<u4"), f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         for b in parts:
             docs, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]

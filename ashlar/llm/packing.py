@@ -24,7 +24,7 @@ from . import scratch
 from .tokens import runs, tokenizer
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", spaced: bool = True, narrow: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", narrow: bool = True) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     A document is its ids plus ``end_id``; a null or empty text is ``end_id``
@@ -43,7 +43,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, length: int = 2048,
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, local = TaskContext.get().partitionId(), 0
-        t = tokenizer(tokenizer_file, spaced)
+        t = tokenizer(tokenizer_file)
         for b in parts:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for i, j in runs(texts):

@@ -1,20 +1,23 @@
 """Token ids by the tokenizers library, remembered by space-delimited unit.
 
-Both vocabularies cut a text into pieces that never run past a space that
-stands between two other characters, so a text's ids are the concatenation of
-the ids of its units: the first word, then each following word together with
-the space before it (byte-level BPE), or each word alone (word BPE).  Natural
-text repeats its units, so most are looked up instead of merged again.  The
-memory of a worker process is bounded: two generations of ``REMEMBERED`` units.
+Where the file's normaliser and splitter are one of the two forms below, no
+piece runs past a space that stands between two other characters, so a text's
+ids are the concatenation of the ids of its units: the first word, then each
+following word together with the space before it (byte-level BPE), or each
+word alone (word BPE).  Natural text repeats its units, so most are looked up
+instead of merged again.  Texts that hold the string of an added token, and
+all texts under files of any other form, are encoded whole by the library.
+The memory of a worker process is bounded: two generations of ``REMEMBERED``
+units.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
-
 REMEMBERED = 500_000
 _WIDE = re.compile(r" \s")
 _BARE = re.compile(r" ?[A-Za-z]+")
@@ -23,19 +26,44 @@ _LONE = re.compile(r"(?<=\S) (?=\S)")
 LONG_UNIT = 256
 
 
+#: (normaliser, splitter) under which a text falls apart at its lone spaces, without and with the space
+_BYTES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
+
 class UnitTokenizer:
-    """``encode(text)``: little-endian unsigned 32-bit ids as bytes, without special tokens."""
+    """``encode_batch(texts)``: little-endian unsigned 32-bit ids as bytes, as by ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, file: str, spaced: bool):
+    def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced = spaced
+        told = json.loads(self.tokenizer.to_str())
+        form = (told["normalizer"], told["pre_tokenizer"])
+        added = told["added_tokens"]
+        plain = all(not (x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"]) for x in added) and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        self.by_units = plain and form in (_BYTES, _WORDS)
+        self.spaced = form == _BYTES
+        self.added = [x["content"] for x in added]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if not self.by_units or any(x in t for x in self.added)]
+        if not whole:
+            return self._by_units(texts)
+        skip = set(whole)
+        out = self._by_units(["" if k in skip else t for k, t in enumerate(texts)]) if self.by_units else [b""] * len(texts)
+        for k in range(0, len(whole), 100):
+            part = whole[k : k + 100]
+            for at, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                out[at] = array("I", e.ids).tobytes()
+        return out
+
     def units(self, text: str) -> list[str]:
         if not self.spaced:
             return text.split(" ")
@@ -47,7 +75,7 @@ class UnitTokenizer:
             return [first, *(" " + x for x in rest)]
         return text.replace(" ", "\0 ").split("\0")
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+    def _by_units(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         young, get = self.young, self.young.get
@@ -117,14 +145,14 @@ class UnitTokenizer:
         return own
 
 
-_loaded: dict[tuple[str, bool], UnitTokenizer] = {}
+_loaded: dict[str, UnitTokenizer] = {}
 
 
-def tokenizer(file: str, spaced: bool) -> UnitTokenizer:
+def tokenizer(file: str) -> UnitTokenizer:
     """One per worker process."""
-    if (file, spaced) not in _loaded:
-        _loaded[file, spaced] = UnitTokenizer(file, spaced)
-    return _loaded[file, spaced]
+    if file not in _loaded:
+        _loaded[file] = UnitTokenizer(file)
+    return _loaded[file]
 
 
 def runs(texts: list[str], most: int = 1 << 20):

@@ -20,24 +20,36 @@ def library(file):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize(("file", "spaced"), [(BYTE, True), (WORD, False)])
-def test_units_give_the_ids_of_whole_texts(file, spaced):
+@pytest.mark.parametrize("file", [BYTE, WORD])
+def test_units_give_the_ids_of_whole_texts(file):
     rng = random.Random(7)
-    parts = ["a", "The.\nOf", ",", " ", " ", "  ", "\n", "\t", "'s", "1", "é", "É", "́", "中", "!", "\x00", "\x1c", "\xa0", "<|endoftext|>", "\r\n", "_", "ﬁ", "İ", " \n", "\u2003", "١"]
+    parts = ["a", "The.\nOf", ",", " ", " ", "  ", "\n", "\t", "'s", "1", "é", "É", "́", "中", "!", "\x00", "\x1c", "\xa0", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "\r\n", "_", "ﬁ", "İ", " \n", "\u2003", "١"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
-    own, whole = tokens.UnitTokenizer(file, spaced), library(file)
+    own, whole = tokens.UnitTokenizer(file), library(file)
     for t, got in zip(texts, own.encode_batch(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == whole(t), repr(t)
 
 
+def test_a_file_of_another_form_is_encoded_by_the_library(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_file(WORD)
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("a b", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.add_tokens(["of the"])
+    t.save(str(tmp_path / "other.json"))
+    own, whole = tokens.UnitTokenizer(str(tmp_path / "other.json")), library(str(tmp_path / "other.json"))
+    assert tokens.UnitTokenizer(WORD).by_units and tokens.UnitTokenizer(BYTE).by_units and not own.by_units
+    texts = ["a b c", "end of the line", "", "<|endoftext|> a b"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(texts)] == [whole(t) for t in texts]
+
+
 def test_forgetting(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     monkeypatch.setattr(tokens, "LONG_UNIT", 6)
-    own, whole = tokens.UnitTokenizer(BYTE, True), library(BYTE)
+    own, whole = tokens.UnitTokenizer(BYTE), library(BYTE)
     for t in ["a b c d e", "c d e f averyveryverylongword", "a b c averyveryverylongword", "", "a b"]:
         assert np.frombuffer(own.encode_batch([t])[0], "<u4").tolist() == whole(t)
 
