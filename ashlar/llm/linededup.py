@@ -1,14 +1,17 @@
 """Line deduplication against levelled sorted runs of line hashes.
 
 The index of lines seen so far is a log-structured merge tree: each run is a
-Parquet table of (128-bit line hash, first document), hash-partitioned and
-sorted.  A new batch of documents reduces its own lines to one row a key,
-merge-anti-joins every run, and what is left, its new lines, becomes a run of
-level 0.  ``FANOUT`` runs of one level are merged into one run of the next, so
-n batches leave O(log n) runs and each hash is rewritten O(log n) times.
+table of (128-bit line hash, first document), bucketed and sorted by the hash.
+A new batch of documents reduces its own lines to one row a key and is
+merge-joined with every run, which stand ready in their buckets: only the
+batch is shuffled.  Its keys that no run holds are its new lines and become a
+run of level 0.  ``FANOUT`` runs of one level are merged into one run of the
+next, so n batches leave O(log n) runs and each hash is rewritten O(log n)
+times.
 
 Batches are taken in ascending doc_id, so the first batch that brings a key
-also brings the least doc_id holding it.
+also brings the least doc_id holding it.  Only keys found again are joined
+with the documents, those of very many documents by broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import hot, scratch
 
 FANOUT = 3
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -41,24 +44,33 @@ class LineIndex:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def add(self, keys: DataFrame) -> None:
-        """Merge-anti-join the runs with the batch's (h1, h2, doc_id) and keep what is new as a run."""
-        new = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
-        for run in self.runs():
-            new = new.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        self._put(new, 0)
+    def add(self, keys: DataFrame) -> DataFrame:
+        """Merge the batch's (h1, h2, doc_id) with the runs and keep what is new as a run.
+
+        Returns (h1, h2, owner, n) of the batch's keys that stand in another
+        document too: the first one, and the batch's number of rows.
+        """
+        batch = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+        known = F.lit(None).cast("long")
+        for k, run in enumerate(self.runs()):
+            batch = batch.join(run.select("h1", "h2", F.col("owner").alias(f"known{k}")).hint("merge"), ["h1", "h2"], "left")
+            known = F.coalesce(known, F.col(f"known{k}"))
+        batch = batch.select("h1", "h2", "owner", "last", "n", known.alias("known"))
+        batch = scratch.save_bucketed(batch, "run0", "h1", "h2", dealt=True)
+        self._put(batch.where("known is null").select("h1", "h2", "owner"), 0)
+        return batch.where("known is not null or owner < last").select("h1", "h2", F.coalesce("known", "owner").alias("owner"), "n")
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(scratch.save(run.sortWithinPartitions("h1", "h2"), f"run{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self.levels[level]
+            whole, *rest = self.levels[level]
             self.levels[level] = []
-            whole = merged[0]
-            for other in merged[1:]:
+            for other in rest:
                 whole = whole.unionByName(other)
-            self._put(whole.repartition("h1", "h2"), level + 1)
+            merged = whole.groupBy("h1", "h2").agg(F.min("owner").alias("owner"))
+            self._put(scratch.save_bucketed(merged, f"run{level + 1}", "h1", "h2", dealt=True), level + 1)
 
     def owners(self) -> DataFrame:
         """(h1, h2, owner): each key stands in exactly one run."""
@@ -80,6 +92,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     through unless they are named n_lines or n_dropped, which are replaced.
     """
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     docs = docs.drop("n_lines", "n_dropped")
 
     def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +105,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             h = pa.py_buffer(b"".join(digests))
             both = pa.Array.from_buffers(pa.int64(), 2 * len(ids), [None, h])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), both.take(pa.array(range(0, 2 * len(ids), 2), pa.int64())), both.take(pa.array(range(1, 2 * len(ids), 2), pa.int64()))], ["doc_id", "h1", "h2"])
+        scratch.trim()
 
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     cuts = [c for c in known.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []] if batches > 1 else []
@@ -101,10 +115,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         batch = F.when(F.col("doc_id") > c, k + 1).otherwise(batch)
     found = known.mapInArrow(keys, "doc_id long, h1 long, h2 long").withColumn("batch", batch.cast("int"))
     found = scratch.save(found, "lines")
-    index = LineIndex(spark)
+    index, again = LineIndex(spark), None
     for k in range(len(cuts) + 1):
-        index.add(found.where(F.col("batch") == k).drop("batch"))
-    again = found.join(index.owners(), ["h1", "h2"]).where("owner < doc_id")
+        own = found.where(F.col("batch") == k).drop("batch")
+        late = hot.join(own, index.add(own), ["h1", "h2"], "n").where("owner < doc_id").select("doc_id", "h1", "h2")
+        again = late if again is None else again.unionByName(late)
     again = again.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
 
     schema = docs.schema
@@ -125,7 +140,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 n_dropped.append(len(lines) - len(kept))
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*schema.fieldNames(), "n_lines", "n_dropped"])
+        scratch.trim()
 
-    joined = docs.join(again.withColumnRenamed("doc_id", "__gone_id"), F.col(id_col).cast("long") == F.col("__gone_id"), "left").drop("__gone_id")
+    # keys and lists are given names that no column of docs has
+    key, gone = scratch.fresh("gone_id", docs), scratch.fresh("gone", docs)
+    joined = docs.withColumn(key, F.col(id_col).cast("long")).join(again.select(F.col("doc_id").alias(key), F.col("gone").alias(gone)), key, "left").select(*docs.columns, gone)
     out = type(schema)([*schema.fields]).add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(rewrite, out)
