@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 SEGMENT = 512
 RUN = 1 << 21
 PAD, OTHER = 0, 1
@@ -78,8 +80,6 @@ class Model:
         self.symbol = np.full(256, OTHER, np.uint8)
         self.symbol[:0x80] = 2  # what is no letter parts words
         used = sorted({b for t in texts for b in set(t) if b >= 0x80 or 97 <= b <= 122})
-        if len(used) > 250:
-            used = used[:250]
         for k, b in enumerate(used):
             self.symbol[b] = 3 + k
         self.width = 3 + len(used)
@@ -168,6 +168,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -
     the language name that sorts first.  Columns named like the outputs are
     replaced.
     """
+    scratch.small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score")
     schema = docs.schema
     at = schema.fieldNames().index(text_col)
@@ -190,6 +191,8 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -
                     names.append(m.names[k] if judged else UNDETERMINED)
                     scores.append(min(1.0, max(0.0, 1 - r[0] / r[-1])) if judged and len(r) > 1 and r[-1] > 0 else float(judged and len(r) == 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*schema.fieldNames(), "lang_pred", "lang_score"])
+        _models.clear()  # workers outlive their tasks; what follows needs the memory
+        scratch.trim()
 
     return docs.mapInArrow(predict, type(schema)([*schema.fields]).add("lang_pred", "string").add("lang_score", "double"))
 

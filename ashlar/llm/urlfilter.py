@@ -9,7 +9,8 @@ match, and among a URL's rules the longest decides.
 Only DataFrame functions are used.  Suffixes are taken for the label counts
 and prefixes for the lengths that occur among the rules, so a URL of any
 length gives at most ``label counts * lengths`` expressions.  Each distinct
-URL is expanded once, which also takes the weight out of hot URLs.
+URL is expanded once, and a URL that very many pages share meets its verdict
+by broadcast, so hot URLs weigh no more than others.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hot, scratch
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_SCHEMA = "host string, path string, verdict string"
 
@@ -51,22 +54,23 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", defau
     labels, lengths = sorted(shape["labels"]), sorted(shape["lengths"])
 
     pages = pages.drop("host", "path", "rule", "verdict")
-    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct()
+    urls = pages.groupBy(F.col(url_col).alias("url")).agg(F.count("*").alias("n")).where("url is not null")
     urls = with_host_and_path(urls, "url")
     parts = F.split("host", r"\.")
     suffix = F.filter(F.transform(F.array(*map(F.lit, labels)), lambda n: F.when(F.size(parts) >= n, F.struct(n.alias("n"), F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".").alias("s")))), lambda x: x.isNotNull())
     prefix = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: F.length("path") >= n), lambda n: F.substring(F.col("path"), F.lit(1), n))
     none = F.array().cast("array<string>")
-    wide = urls.select("url", F.explode(F.transform(suffix, lambda x: x["s"]) if labels else none).alias("suffix"), prefix.alias("prefixes") if lengths else none.alias("prefixes"))
-    wide = wide.select("url", "suffix", F.explode("prefixes").alias("prefix"))
+    wide = urls.select("url", "n", F.explode(F.transform(suffix, lambda x: x["s"]) if labels else none).alias("suffix"), prefix.alias("prefixes") if lengths else none.alias("prefixes"))
+    wide = wide.select("url", "n", "suffix", F.explode("prefixes").alias("prefix"))
     digest = F.sha2(F.concat("suffix", "prefix"), 256)
-    wide = wide.select("url", digest.alias("digest")).withColumn("short", F.substring("digest", 1, 8))
+    wide = wide.select("url", "n", digest.alias("digest")).withColumn("short", F.substring("digest", 1, 8))
     known = rules.withColumn("r_digest", F.sha2(F.concat("r_host", "r_path"), 256)).withColumn("short", F.substring("r_digest", 1, 8))
     fits = wide.join(known, "short").where(F.col("digest") == F.col("r_digest"))
-    best = fits.groupBy("url").agg(F.max(F.struct(F.length("r_host").alias("h"), F.length("r_path").alias("p"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
-    best = best.select(F.col("url").alias("__url"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    best = fits.groupBy("url").agg(F.max("n").alias("n"), F.max(F.struct(F.length("r_host").alias("h"), F.length("r_path").alias("p"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
     out = with_host_and_path(pages, url_col)
-    out = out.join(best, out[url_col] == best["__url"], "left").drop("__url")
+    key = scratch.fresh("fits", out)
+    best = scratch.save(best.select(F.col("url").alias(key), "n", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "verdicts")
+    out = hot.join(out.withColumn(key, F.col(url_col)), best, [key], "n", "left").drop(key)
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
