@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quantiles import kept
+
 
 class CheckFailed(RuntimeError):
     pass
@@ -47,8 +49,64 @@ def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def join_one_to_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """A left join that raises if the key repeats on either side."""
-    for side, df in (("left", a), ("right", b)):
-        if df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+    """A left join that raises if the key repeats on either side; one aggregate looks at both."""
+    both = a.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(b.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    most = both.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).agg(F.max("l").alias("left"), F.max("r").alias("right")).first()
+    for side in ("left", "right"):
+        if (most[side] or 0) > 1:
             raise CheckFailed(f"{key} repeats on the {side} side")
     return a.join(b, key, "left")
+
+
+def join_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Two aggregates of the same key side by side; what one lacks is 0."""
+    numbers = [c for c in (*a.columns, *b.columns) if c != key]
+    return a.join(b, key, "full_outer").na.fill(0, numbers)
+
+
+def side_by_side(key: str, *tables: DataFrame) -> DataFrame:
+    """Tables with the same keys joined column by column; raises if the keys differ or repeat."""
+    out = tables[0]
+    for t in tables[1:]:
+        if not key_sets(out, t, key).first()["equal"]:
+            raise CheckFailed(f"the tables' {key} differ")
+        out = join_one_to_one(out, t, key)
+    return out
+
+
+def gathered(df: DataFrame, key: str, wanted: DataFrame, position: str = "position") -> DataFrame:
+    """The rows of the wanted keys (key, position) in the order of their positions, with the position."""
+    return df.join(wanted.select(key, position), key).orderBy(position)
+
+
+def with_position(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """``df`` plus its row's place from 0 in a total order, by range partitions and their counts, so no task sorts everything."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the partition's number and the place in it are read off the sorted ranges, in one scan of what is kept
+    placed = kept(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id() % F.lit(1 << 33)}))
+    counts = sorted(placed.groupBy("__part").agg(F.count("*")).collect())
+    base, total = [], 0
+    for part, c in counts:
+        base.append((part, total))
+        total += c
+    bases = df.sparkSession.createDataFrame(base, "__part int, __base long")
+    return placed.join(F.broadcast(bases), "__part").withColumn(name, F.col("__base") + F.col("__at")).select(*df.columns, name)
+
+
+def monotone(df: DataFrame, order: str, value: str) -> DataFrame:
+    """Rows, and how many have a value below the one before them; meant for small tables of parameters."""
+    step = F.col(value) - F.lag(value).over(Window.orderBy(order))
+    return df.withColumn("__step", step).agg(F.count("*").alias("n"), F.count_if(F.col("__step") < 0).alias("decreasing_n"))
+
+
+def valid_assignment(df: DataFrame, columns: tuple[str, ...] = ("record", "target", "partition", "position")) -> Checks:
+    """Checks of a split assignment: column order, unique keys, positions without a gap, known sides."""
+    key, _, side, position = columns
+    checks = Checks().add("column_order", tuple(df.columns) == columns, ",".join(df.columns))
+    if not set(columns) <= set(df.columns):
+        return checks
+    keys = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.max("n").alias("most")).first()
+    row = df.agg(F.count("*").alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi"), F.count_distinct(position).alias("places"), F.count_if(~F.coalesce(F.col(side).isin("train", "test"), F.lit(False))).alias("unknown")).first()
+    checks.add("unique_key", (keys["most"] or 0) <= 1, keys["keys"])
+    checks.add("contiguous_position", row["n"] == 0 or (row["hi"] - row["lo"] + 1 == row["n"] == row["places"]), row["places"])
+    return checks.add("known_sides", row["unknown"] == 0, row["unknown"])

@@ -68,8 +68,64 @@ def promote(df: DataFrame, path: str, check=None) -> DataFrame:
     except Exception:
         fs.delete(p(staging), True)
         raise
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(staging), p(path))
-    fs.delete(p(old), True)
+    had = fs.exists(p(path))
+    if had and not fs.rename(p(path), p(old)):
+        fs.delete(p(staging), True)
+        raise OSError(f"{path} could not be set aside; it is unchanged")
+    if not fs.rename(p(staging), p(path)):
+        if had and not fs.rename(p(old), p(path)):
+            raise OSError(f"neither table could be put in place; the old one is {old}, the new one {staging}")
+        fs.delete(p(staging), True)
+        raise OSError(f"the new table could not be put in place; {path} is unchanged")
+    if had:
+        fs.delete(p(old), True)
     return spark.read.parquet(path)
+
+
+def write_manifest(spark: SparkSession, content: dict, path: str) -> str:
+    """The manifest's text as one file; returns the text."""
+    text = manifest_text(content)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    return text
+
+
+def pass_through(spark: SparkSession, source: str, target: str) -> Checks:
+    """Copy a file without reading it as a table; the check compares both files' bytes by digest."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    copied = jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+    same = [file_sha256(spark, x) for x in (source, target)] if copied else ["", "-"]
+    return Checks().add("copied", bool(copied)).add("bytes_equal", same[0] == same[1], same[0])
+
+
+def file_sha256(spark: SparkSession, path: str, chunk: int = 1 << 20) -> str:
+    """SHA-256 of a file's bytes, read in chunks through Hadoop's file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    wrapped = jvm.java.security.DigestInputStream(stream, digest)
+    try:
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(wrapped, jvm.java.io.OutputStream.nullOutputStream(), chunk, False)
+    finally:
+        wrapped.close()
+    return bytes(b & 0xFF for b in digest.digest()).hex()
+
+
+#: what a stage declares that it did and did not do, and where it learned
+CONTRACT = {"fit_partition": "train", "transform_partitions": ["train", "test"], "test_used_in_fit": False, "target_used_in_fit": False, "rows_dropped": False}
+
+
+def stage_manifest(name: str, tables: dict[str, DataFrame], flags: dict[str, bool], **contract) -> dict:
+    """A manifest with operation flags and the fit/transform contract; flags are booleans, unknown contract fields raise."""
+    if bad := [k for k, v in flags.items() if not isinstance(v, bool)]:
+        raise ValueError(f"flags that are not true or false: {', '.join(bad)}")
+    if unknown := set(contract) - set(CONTRACT):
+        raise ValueError(f"unknown contract fields: {', '.join(sorted(unknown))}")
+    return manifest(name, tables, operation_flags=dict(flags), contract=CONTRACT | contract)

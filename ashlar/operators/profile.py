@@ -1,9 +1,10 @@
-"""One-pass profiles of numeric and categorical columns.
+"""Profiles of numeric and categorical columns.
 
 Each function makes one aggregate for all its columns and turns the single wide
 row into long form afterwards, so a table is read once whatever the number of
-columns.  Quantiles are exact by default; ``accuracy`` switches to a sketch of
-bounded size for columns with too many distinct values to count.
+columns.  Quantiles are exact by default: of whole tables by ``quantiles``,
+whose state is bounded, of groups by an aggregate; ``accuracy`` switches to a
+sketch of bounded size.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
+from .quantiles import distinct_values, exact_quantiles
 
 
 def quantile(c: Column, p: float, accuracy: int | None = None) -> Column:
@@ -35,16 +37,31 @@ def _long(df: DataFrame, keys: Sequence[str], rows: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.array(*rows).alias("__rows")).select(*keys, F.inline("__rows"))
 
 
+def quantiles_of(df: DataFrame, columns: Sequence[str], ps: Sequence[float], by: Sequence[str] = (), accuracy: int | None = None) -> dict[str, list[Column]]:
+    """For each column the wanted quantiles as columns of an aggregate over ``by``.
+
+    Without groups they are exact numbers found beforehand, else one aggregate
+    gives all quantiles of a column in a group.
+    """
+    if accuracy is None and not by:
+        return {c: [F.lit(v).cast("double") for v in found] for c, found in exact_quantiles(df, columns, ps).items()}
+    many = F.array(*map(F.lit, ps))
+    state = (lambda c: F.percentile_approx(c, many, accuracy).cast("array<double>")) if accuracy else (lambda c: F.percentile(c, many))
+    return {c: [state(finite(F.col(c)))[i] for i in range(len(ps))] for c in columns}
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """Count, nulls, moments, five numbers, distinct count and skewness of each column (NaN and infinities count as null)."""
+    known = quantiles_of(df, columns, (0.25, 0.5, 0.75), by, accuracy)
+    distinct = {} if by else distinct_values(df, columns)
 
     def row(name: str) -> Column:
         c = finite(F.col(name))
-        q1, q3 = quantile(c, 0.25, accuracy), quantile(c, 0.75, accuracy)
+        q1, q2, q3 = known[name]
         return F.struct(
             F.lit(name).alias("column"), F.count(c).alias("observed_n"), F.count_if(c.isNull()).alias("missing_n"), pct(F.count_if(c.isNull()), F.count("*")).alias("missing_pct"),
-            F.avg(c).alias("mean"), quantile(c, 0.5, accuracy).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
-            F.max(c).alias("max"), F.count_distinct(c).alias("n_unique"), skewness(c).alias("skewness"),
+            F.avg(c).alias("mean"), q2.alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
+            F.max(c).alias("max"), (F.count_distinct(c) if by else F.lit(distinct[name]).cast("long")).alias("n_unique"), skewness(c).alias("skewness"),
         )
 
     return _long(df, by, [row(c) for c in columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import days_of_label, finite, fold, normal_label, ratio
-from .profile import pct, quantile, skewness
+from .profile import null_ranking, pct, quantiles_of, skewness
 
 FLAG_ONLY = "FLAG_RETAIN"
 
@@ -32,9 +33,9 @@ def day_map(df: DataFrame, code: str, label: str, days: Sequence[int] = range(8)
 
 
 def with_threshold_target(df: DataFrame, codes: DataFrame, code: str, least: int, name: str = "target") -> DataFrame:
-    """``name`` = 1 if the code's days reach ``least``, else 0; null stays null.  ``codes`` has a row for each code."""
+    """``name`` = 1 if the code's days reach ``least``, else 0; null stays null.  ``codes`` has a row for each code; Spark broadcasts it if it is small."""
     m = codes.select(F.col("code").alias("__code"), F.col("days").alias("__days"))
-    out = df.join(F.broadcast(m), df[code] == F.col("__code"), "left")
+    out = df.join(m, df[code] == F.col("__code"), "left")
     return out.withColumn(name, F.when(F.col("__days").isNotNull(), (F.col("__days") >= least).cast("tinyint"))).drop("__code", "__days")
 
 
@@ -138,6 +139,41 @@ def null_diagnosis(ranking: DataFrame, structural: dict[str, str], hypotheses: d
     return ranking.withColumn("diagnosis", F.when(F.col("missing_n") == 0, "SIN_FALTANTES").when(F.col("missing_n") == F.col("n_rows"), "VACIA").when(known.isNotNull(), known).when(F.col("missing_pct") >= least_pct, "ALTA_SIN_EXPLICACION").otherwise("NO_IDENTIFICABLE"))
 
 
+def rate_contrast(df: DataFrame, mask: Column, group: str, a, b) -> DataFrame:
+    """The rates of ``mask`` in groups ``a`` and ``b``, their absolute difference in points, and b's rate over a's (null for a rate of 0)."""
+    m, g = F.coalesce(mask, F.lit(False)), F.col(group)
+    rate = lambda v: pct(F.count_if(m & (g == v)), F.count_if(g == v))
+    out = df.agg(rate(a).alias("rate_a_pct"), rate(b).alias("rate_b_pct"))
+    return out.withColumns({"absolute_difference_pp": F.abs(F.col("rate_b_pct") - F.col("rate_a_pct")), "rate_ratio": F.when(F.col("rate_a_pct") > 0, F.col("rate_b_pct") / F.col("rate_a_pct"))})
+
+
+def filter_question(dependent: str, columns: Sequence[str]) -> str | None:
+    """The label column of the question that a derived column depends on: ``qn28`` and ``qnc28g`` ask about ``texto_q28``."""
+    m = re.fullmatch(r"qn[a-z]*(\d+)[a-z]*", dependent)
+    name = f"texto_q{m[1]}" if m else None
+    return name if name in columns else None
+
+
+def branching_table(df: DataFrame, dependents: Sequence[str]) -> DataFrame | None:
+    """``branching`` of all dependents whose filter question is found by name; None if there is none."""
+    pairs = [(d, f) for d in dependents if (f := filter_question(d, df.columns))]
+    return reduce(DataFrame.unionByName, (branching(df, d, f) for d, f in pairs)) if pairs else None
+
+
+def diagnosis_from_data(df: DataFrame, columns: Sequence[str], joint: Sequence[str], groups: Sequence[str], least_pct: float = 40.0) -> DataFrame:
+    """``null_diagnosis`` with its reasons taken from the data.
+
+    Structural columns come from ``branching_table``, the hypothesis of the
+    ``joint`` columns from the rates of their common nulls in ``groups``.
+    """
+    shared = reduce(lambda a, b: a & b, (F.col(c).isNull() for c in joint))
+    kind = mechanism(rate_evidence({g: missing_by_group(df, shared, g) for g in groups})).first()["mechanism"]
+    table = branching_table(df, [c for c in columns if c not in joint])
+    found = {r["dependent_col"]: r["classification"] for r in table.collect()} if table is not None else {}
+    structural = {c: k for c, k in found.items() if k.startswith("ESTRUCTURAL")}
+    return null_diagnosis(null_ranking(df, columns), structural, {c: kind for c in joint if kind != "NO_IDENTIFICABLE"}, least_pct)
+
+
 def rate_bands(table: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     """Groups with a rate of 0 %, 100 % and in between."""
     p = F.col("missing_pct")
@@ -149,11 +185,12 @@ def rate_bands(table: DataFrame, tolerance: float = 1e-8) -> DataFrame:
 
 
 def limits(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """(variable, observed_n, q1, q3, mean, std, skewness and both pairs of limits) of each column, in one pass."""
+    """(variable, observed_n, q1, q3, mean, std, skewness and both pairs of limits) of each column."""
+    known = quantiles_of(df, columns, (0.25, 0.75), (), accuracy)
 
     def row(name: str) -> Column:
         c = finite(F.col(name))
-        return F.struct(F.lit(name).alias("variable"), F.count(c).alias("observed_n"), quantile(c, 0.25, accuracy).alias("q1"), quantile(c, 0.75, accuracy).alias("q3"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), skewness(c).alias("skewness"))
+        return F.struct(F.lit(name).alias("variable"), F.count(c).alias("observed_n"), known[name][0].alias("q1"), known[name][1].alias("q3"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), skewness(c).alias("skewness"))
 
     out = df.agg(F.array(*map(row, columns)).alias("r")).select(F.inline("r"))
     iqr = F.col("q3") - F.col("q1")
@@ -226,13 +263,13 @@ def flags_by_target(flags: DataFrame, columns: Sequence[str], target: str) -> Da
 
 
 def case_review(flags: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Flagged rows with their flag count, class and evidence; most flags first."""
+    """Flagged rows with their flag count, class and evidence: most flags first, then largest values (nulls last), then the key."""
     every = [f"{c}_{m}" for c in columns for m in ("iqr", "z3", "domain")]
     n = reduce(lambda a, b: a + b, (F.col(f).cast("int") for f in every))
     domain = reduce(lambda a, b: a | b, (F.col(f"{c}_domain") for c in columns))
     named = F.concat_ws(";", *(F.when(F.col(f), F.lit(f)) for f in every))
     out = flags.select(key, *columns, n.alias("flag_count"), F.when(domain & (n > 1), "DOMAIN_AND_STATISTICAL").when(domain, "DOMAIN").when(n > 1, "STATISTICAL_MULTIPLE").otherwise("STATISTICAL_SINGLE").alias("review_class"), named.alias("evidence"))
-    return out.where("flag_count > 0")
+    return out.where("flag_count > 0").orderBy(F.desc("flag_count"), *(F.desc_nulls_last(c) for c in columns), F.asc(key))
 
 
 def coherence(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -241,6 +278,40 @@ def coherence(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r")).withColumn("classification", F.when(F.col("affected_n") > 0, "REVISAR").otherwise("OK"))
 
 
+def body_checks(height: str, weight: str, height_text: str | None = None, weight_text: str | None = None, tall: tuple[float, float] = (1.2, 2.05), heavy: tuple[float, float] = (27.0, 180.0), most_ratio: float = 60.0) -> dict[str, Column]:
+    """The ten named conditions of a height and a weight column; the text columns, if given, are the unparsed values."""
+    h, w = finite(F.col(height)), finite(F.col(weight))
+    no_number = lambda t, x: (F.col(t).isNotNull() & x.isNull()) if t else F.lit(False)
+    return {
+        "height_not_numeric": no_number(height_text, h), "weight_not_numeric": no_number(weight_text, w),
+        "height_without_weight": h.isNotNull() & w.isNull(), "weight_without_height": h.isNull() & w.isNotNull(), "both_missing": h.isNull() & w.isNull(),
+        "height_not_positive": h <= 0, "weight_not_positive": w <= 0, "height_out_of_range": (h < tall[0]) | (h > tall[1]), "weight_out_of_range": (w < heavy[0]) | (w > heavy[1]),
+        "ratio_above": body_ratio(F.col(height), F.col(weight)) > most_ratio,
+    }
+
+
+def with_evidence(checks: DataFrame, total: int) -> DataFrame:
+    """``coherence`` rows with a sentence that gives the count and its share of ``total`` rows."""
+    return checks.withColumn("evidence", F.concat("affected_n", F.lit(f" of {total} rows ("), F.format_string("%.3f", pct(F.col("affected_n"), F.lit(total))), F.lit("%)")))
+
+
+def parsed_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` as doubles; a text that is no number becomes null."""
+    return df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns})
+
+
+def invalid_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, observed_n, invalid_n): values that are there but are no number."""
+    rows = [F.struct(F.lit(c).alias("column"), F.count(c).alias("observed_n"), F.count_if(F.col(c).isNotNull() & F.col(c).cast("string").try_cast("double").isNull()).alias("invalid_n")) for c in columns]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+def without_null_columns(df: DataFrame, columns: Sequence[str], most_pct: float) -> DataFrame:
+    """``df`` without those of ``columns`` that are null in more than ``most_pct`` percent of the rows."""
+    gone = null_ranking(df, columns).where(F.col("missing_pct") > most_pct).select("column").collect()
+    return df.drop(*(r["column"] for r in gone))
+
+
 def body_ratio(height: Column, weight: Column) -> Column:
     """weight / height**2 for complete, finite, positive pairs, else null."""
     h, w = finite(height), finite(weight)

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .boundary import hash_order
+
 BLOCK = 2048
 
 
@@ -28,14 +30,18 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         p, q, other = np.stack(a["v"]), np.stack(b["v"]), b["id"].to_numpy()
-        out = []
-        for i, x in zip(a["id"], p, strict=True):
-            d = np.sqrt(((q - x) ** 2).sum(axis=1))
-            d[other == i] = np.inf
-            order = np.lexsort((other, d))[:k]
-            order = order[np.isfinite(d[order])]
-            out.append(pd.DataFrame({"id": i, "other": other[order], "distance": d[order]}))
-        return pd.concat(out)
+        who = a["id"].to_numpy()
+        # a matrix product finds who can be among the k; their distances are computed again one by one
+        squares = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :]
+        near = squares - 2 * (p @ q.T)
+        near[who[:, None] == other[None, :]] = np.inf
+        least = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+        i, j = np.nonzero((near <= least[:, None] + 1e-9 * squares.max()) & np.isfinite(near))
+        d = np.sqrt(((q[j] - p[i]) ** 2).sum(axis=1))
+        order = np.lexsort((other[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        some = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return pd.DataFrame({"id": who[i[some]], "other": other[j[some]], "distance": d[some]})
 
     met = asking.groupBy("x", "y").cogroup(asked.groupBy("x", "y")).applyInPandas(meet, "id long, other long, distance double")
     w = Window.partitionBy("id").orderBy("distance", "other")
@@ -47,11 +53,13 @@ def oversample(df: DataFrame, key: str, vector: str, target: str, minority, k: i
 
     Synthetic row i lies at a hashed place between a hashed minority row and
     one of its neighbours; vectors are doubles, never cut to whole numbers.
+    Minority rows without a key or vector count in the class but give no rows.
     """
-    small = df.where(F.col(target) == minority)
-    n_small, n_rest = small.count(), df.where(F.col(target) != minority).count()
+    usable = F.col(key).isNotNull() & F.col(vector).isNotNull()
+    small = df.where((F.col(target) == minority) & usable)
+    n_small, n_all, n_rest = df.agg(F.count_if((F.col(target) == minority) & usable), F.count_if(F.col(target) == minority), F.count_if(F.col(target) != minority)).first()
     base = df.select(F.col(key).alias("source_id"), F.lit(None).cast("long").alias("neighbour_id"), F.col(vector).cast("array<double>").alias("v"), F.col(target).alias("target"), F.lit("original").alias("sample_origin"))
-    wanted = n_rest - n_small
+    wanted = n_rest - n_all
     if n_small < 2 or wanted <= 0:
         return base
     near = neighbours(small, key, vector, k)
@@ -59,16 +67,28 @@ def oversample(df: DataFrame, key: str, vector: str, target: str, minority, k: i
     rounds = F.sequence(F.lit(0), F.lit(-(-wanted // n_small) - 1))
     # every row is taken once a round; a last, partial round takes the rows of least hash
     extra = wanted - (wanted // n_small) * n_small
-    place = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
     ids = small.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    drawn = ids.join(degree, "id").withColumn("place", place).withColumn("round", F.explode(rounds))
-    drawn = drawn.where((F.col("round") < wanted // n_small) | (F.col("place") <= extra))
+    drawn = _marked(ids.join(degree, "id"), hash_order("id", seed), "id", extra).withColumn("round", F.explode(rounds))
+    drawn = drawn.where((F.col("round") < wanted // n_small) | F.col("extra"))
     drawn = drawn.withColumn("rank", (F.pmod(F.xxhash64(F.lit(seed), "id", "round"), F.col("d")) + 1).cast("int")).withColumn("u", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "round"), F.lit(1 << 30)) / float(1 << 30))
     out = drawn.join(near.select("id", "rank", "other"), ["id", "rank"]).join(ids.select(F.col("id").alias("other"), F.col("v").alias("w")), "other")
     made = F.transform(F.arrays_zip("v", "w"), lambda x: x["v"] + F.col("u") * (x["w"] - x["v"]))
     return base.unionByName(out.select(F.col("id").alias("source_id"), F.col("other").alias("neighbour_id"), made.alias("v"), F.lit(minority).alias("target"), F.lit("synthetic").alias("sample_origin")))
 
 
+def _marked(df: DataFrame, h: Column, key: str, n: int) -> DataFrame:
+    """``df`` plus extra: whether a row is among the n of least hash; only rows with the cut-off's hash prefix are ranked."""
+    marked = df.withColumn("__h", h).withColumn("__p", F.substring("__h", 1, 4))
+    counts = marked.groupBy("__p").agg(F.count("*").alias("c"))  # 65,536 prefixes at most
+    before = F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.withColumn("b", before).where((F.col("b") < n) & (F.col("b") + F.col("c") >= n)).first()
+    if cut is None:
+        return df.withColumn("extra", F.lit(n > 0))
+    edge = F.col("__p") == cut["__p"]
+    ranked = marked.where(edge).withColumn("extra", F.row_number().over(Window.partitionBy("__p").orderBy("__h", key)) <= n - cut["b"])
+    return marked.where(~edge).withColumn("extra", F.col("__p") < cut["__p"]).unionByName(ranked).drop("__h", "__p")
+
+
 def class_balance(df: DataFrame, target: str = "target") -> DataFrame:
     n = df.groupBy(target).agg(F.count("*").alias("n"))
     return n.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))

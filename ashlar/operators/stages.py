@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import category_order, category_text, column_token, finite
-from .profile import quantile
+from .profile import quantile, quantiles_of
 
 MISSING = "sin_dato"
 MISSING_CODE, UNSEEN_CODE, ESCAPE_CODE = -1, -2, -3
@@ -25,7 +25,8 @@ def train(df: DataFrame) -> DataFrame:
 
 
 def fit_median(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    rows = [F.struct(F.lit(c).alias("column"), F.count(finite(F.col(c))).alias("fit_observed_n"), F.count_if(finite(F.col(c)).isNull()).alias("fit_missing_n"), quantile(finite(F.col(c)), 0.5, accuracy).alias("learned_value")) for c in columns]
+    known = quantiles_of(train(df), columns, (0.5,), (), accuracy)
+    rows = [F.struct(F.lit(c).alias("column"), F.count(finite(F.col(c))).alias("fit_observed_n"), F.count_if(finite(F.col(c)).isNull()).alias("fit_missing_n"), known[c][0].alias("learned_value")) for c in columns]
     return train(df).agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
@@ -36,7 +37,11 @@ def impute(df: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def joint_indicator(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    """1 where the first column is null; meant for columns with equal null masks (``same_masks``)."""
+    """1 where the columns are null; raises if their null masks differ."""
+    masks = [F.col(c).isNull() for c in columns]
+    unlike = df.agg(F.count_if(sum((m.cast("int") for m in masks[1:]), masks[0].cast("int")).between(1, len(masks) - 1))).first()[0] if len(masks) > 1 else 0
+    if unlike:
+        raise ValueError(f"{', '.join(columns)} have different null masks in {unlike} rows")
     return df.withColumn(name, F.col(columns[0]).isNull().cast("tinyint"))
 
 
@@ -82,6 +87,23 @@ def scaling_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy("partition").agg(F.array(*rows).alias("r")).select("partition", F.inline("r"))
 
 
+def scaling_before_after(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``scaling_summary`` of both, with the stage's name."""
+    return scaling_summary(before, columns).withColumn("stage", F.lit("before")).unionByName(scaling_summary(after, columns).withColumn("stage", F.lit("after")))
+
+
+#: categories of a column that may become columns or literals of a plan
+MOST_CATEGORIES = 10_000
+
+
+def _bounded(rows: DataFrame, what: str) -> list:
+    """The rows of a small table; raises beyond ``MOST_CATEGORIES`` instead of flooding the driver."""
+    out = rows.limit(MOST_CATEGORIES + 1).collect()
+    if len(out) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} {what}; such columns are for a join, not for a plan")
+    return out
+
+
 def vocabulary(df: DataFrame, columns: Sequence[str], token: str = MISSING) -> DataFrame:
     """(column, category, position from 0) of the train categories: numbers, then texts, the missing token last."""
     long = train(df).select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(category_text(F.col(c)), F.lit(token)).alias("category")) for c in columns))).alias("x")).select("x.*").distinct()
@@ -102,7 +124,7 @@ def ordinal_map(vocab: DataFrame, escapes: dict[str, Sequence[str]] | None = Non
 
 def encode_ordinal(df: DataFrame, mapping: DataFrame, columns: Sequence[str], token: str = MISSING) -> DataFrame:
     """Codes of the mapping, -2 for a category it lacks."""
-    rows = mapping.where(F.col("column").isin(list(columns))).collect()
+    rows = _bounded(mapping.where(F.col("column").isin(list(columns))), "categories")
     out = {}
     for c in columns:
         own = [x for r in rows if r["column"] == c for x in (F.lit(r["category"]), F.lit(int(r["value"])))]
@@ -123,15 +145,15 @@ def onehot_names(vocab: DataFrame) -> DataFrame:
 def encode_onehot(df: DataFrame, vocab: DataFrame, token: str = MISSING) -> DataFrame:
     """A 0/1 column for every train category; a category unseen in train gives zeros everywhere."""
     out = {}
-    for r in onehot_names(vocab).orderBy("column", "position").collect():
+    for r in sorted(_bounded(onehot_names(vocab), "categories"), key=lambda r: (r["column"], r["position"])):
         out[r["output_column"]] = (F.coalesce(category_text(F.col(r["column"])), F.lit(token)) == F.lit(r["category"])).cast("tinyint")
     return df.withColumns(out)
 
 
-def unseen(df: DataFrame, vocab: DataFrame, columns: Sequence[str], token: str = MISSING) -> DataFrame:
-    """(column, category, test_n) of test categories that train lacks."""
+def unseen(df: DataFrame, vocab: DataFrame, columns: Sequence[str], token: str = MISSING, policy: str = "all_zero") -> DataFrame:
+    """(column, category, test_n, policy) of test categories that train lacks; policy says how they are encoded."""
     test = df.where(F.col("partition") == "test").select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(category_text(F.col(c)), F.lit(token)).alias("category")) for c in columns))).alias("x")).select("x.*")
-    return test.groupBy("column", "category").agg(F.count("*").alias("test_n")).join(vocab.select("column", "category"), ["column", "category"], "left_anti")
+    return test.groupBy("column", "category").agg(F.count("*").alias("test_n")).join(vocab.select("column", "category"), ["column", "category"], "left_anti").withColumn("policy", F.lit(policy))
 
 
 def missing_conservation(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import boundary, catalog, checks, lineage, profile, quality, reduce, resample, select, stages
+from ..operators.quantiles import kept
 from . import survey as survey_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +59,8 @@ def _survey(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return boundary.stratified_split(_survey(spark, sf_dir), "record", "target")
+    """The split, computed once for the passes that fit and transform on it."""
+    return kept(boundary.stratified_split(_survey(spark, sf_dir), "record", "target"))
 
 
 #: the split in SQL: largest-remainder allocation, then hash order inside a class
@@ -498,7 +500,8 @@ def mi_discrete(spark, sf_dir):
     return select.discrete_information(_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_linestatus")
 
 
-@query("""WITH p AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, o_totalprice + o_orderkey * 1e-9 AS x FROM orders),
+@query("""WITH s AS (SELECT 1e-10 * greatest(1, avg(abs(o_totalprice))) AS size FROM orders),
+p AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, o_totalprice + size * (CAST('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 12) AS BIGINT) / 140737488355328.0 - 1) AS x FROM orders, s),
 q AS (SELECT *, count(*) OVER (PARTITION BY y) AS ny, lag(x, 1) OVER w AS a1, lag(x, 2) OVER w AS a2, lag(x, 3) OVER w AS a3, lead(x, 1) OVER w AS b1, lead(x, 2) OVER w AS b2, lead(x, 3) OVER w AS b3 FROM p WINDOW w AS (PARTITION BY y ORDER BY x, id)),
 r AS (SELECT id, ny, x, list_sort(list_filter([x - a1, x - a2, x - a3, b1 - x, b2 - x, b3 - x], lambda g: g IS NOT NULL))[3] AS r FROM q),
 e AS (SELECT x AS v, 1 AS tag, 0 AS s, id, ny FROM r UNION ALL SELECT x + r, 0, 1, id, ny FROM r UNION ALL SELECT x - r, 2, -1, id, ny FROM r),
