@@ -22,6 +22,7 @@ these before anything else, which loses nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,11 @@ class Forest:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array([np.frombuffer(x, "<f8") for x in column]) if len(column) else np.zeros((0, 1))
+    """Rows scaled by a power of two to a largest component of about 1: exact, and no square under- or overflows."""
+    if not len(column):
+        return np.zeros((0, 1))
+    x = np.array([np.frombuffer(x, "<f8") for x in column])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -129,19 +134,27 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     """(query_id, rank, vec_id, score): the k nearest rows of every row whose id is divisible by ``every``.
 
     score is the cosine in double precision; ties go to the smaller id.  Null
-    ids, null and zero vectors, vectors with null or non-finite components and
-    those whose length isn't the commonest one take no part.  Rows that repeat
-    an id count as that id's row and never answer its own query.  Other columns
-    are ignored.
+    ids, null and zero vectors and vectors with null or non-finite components
+    take no part.  Vectors of different lengths have no cosine, so each length
+    is searched on its own.  Rows that repeat an id count as that id's row and
+    never answer its own query; if they differ, an id may have hits of each.
+    Other columns are ignored.
     """
     spark = vectors.sparkSession
+    scratch.small_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & _is_usable(F.col("v")))
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if size is None:
-        return empty
-    rows = rows.where(F.size("v") == size["d"])
+    lengths = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())
+    found = [_nearest(rows.where(F.size("v") == d), d, k, every, wanted_recall) for d in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
+
+
+FOUND = "query_id long, rank int, vec_id long, score double"
+
+
+def _nearest(rows: DataFrame, length: int, k: int, every: int, wanted_recall: float) -> DataFrame:
+    """``nearest`` among usable vectors of one length."""
+    spark = rows.sparkSession
     same = Window.partitionBy("h1", "h2").orderBy("vec_id")
     index = rows.dropDuplicates(["vec_id", "h1", "h2"]).withColumn("r", F.row_number().over(same)).where(f"r <= {k + 1}").drop("r")
 
@@ -157,12 +170,12 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     queries = scratch.save(queries.withColumn("q", F.xxhash64("h1", "h2")), "queries")
     m = queries.count()
     if not m:
-        return empty
+        return spark.createDataFrame([], FOUND)
 
     share = min(1.0, SAMPLE / n)
     sample = index.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)).select("v").toPandas()
     depth = max(0, min(DEPTH, (n // LEAF).bit_length() - 1)) if len(sample) > 1 else 0
-    forest = Forest(_units(_matrix(sample["v"])) if len(sample) else np.zeros((0, size["d"])), TREES if depth else 1, depth)
+    forest = Forest(_units(_matrix(sample["v"])) if len(sample) else np.zeros((0, length)), TREES if depth else 1, depth)
     shared = spark.sparkContext.broadcast(forest)
 
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +199,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     counts = np.zeros(forest.cells, np.int64)
     for cell, c in index.select("v").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
         counts[cell] = c
-    wanted = _calibrated(spark, index, queries, m, forest, counts, k, wanted_recall) * n
+    # every tree holds each row once, so this many rows of leaves are k + 2 different ones at least
+    wanted = max(_calibrated(spark, index, queries, m, forest, counts, k, wanted_recall) * n, forest.trees * (k + 2))
 
     def visit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:

@@ -185,3 +185,50 @@ def test_scratch_is_released(spark):
     assert df.count() == 3
     scratch.release(since)
     assert minhash.BANDS * minhash.ROWS == 128
+
+
+def cosines(rows, k, every):
+    """Plain search: every query's k best by cosine among rows of its length."""
+    out = {}
+    for q, x in rows:
+        if q % every:
+            continue
+        scale = lambda v: np.array(v) / np.abs(v).max()
+        a = scale(x)
+        found = []
+        for i, y in rows:
+            if i != q and len(y) == len(x):
+                b = scale(y)
+                found.append((-float(a @ b / np.sqrt((a @ a) * (b @ b))), i))
+        out[q] = [i for _, i in sorted(found)[:k]]
+    return out
+
+
+def test_neighbours_of_tiny_huge_and_mixed_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.standard_normal(4) * 10.0 ** rng.choice([-170, 0, 170])).tolist()) for i in range(60)]
+    rows += [(100 + i, rng.standard_normal(3).tolist()) for i in range(9)] + [(150, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, k=5, every=50).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {q: x for q, x in cosines(rows, 5, 50).items() if x}
+    assert got == want
+
+
+def test_recall_on_the_standard_table(spark):
+    sf = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.collect()]
+    x = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    asked = np.flatnonzero(ids % 50 == 0)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -2
+    want = {int(ids[a]): set(ids[np.lexsort((ids, -row))[:5]].tolist()) for a, row in zip(asked, near, strict=True)}
+    got = {}
+    for r in queries.op4_nearest(spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
