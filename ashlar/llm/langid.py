@@ -79,6 +79,7 @@ class Model:
         texts = [plain(samples[n]) for n in self.names]
         self.symbol = np.full(256, OTHER, np.uint8)
         self.symbol[:0x80] = 2  # what is no letter parts words
+        self.symbol[97:123] = OTHER  # letters that no language has
         used = sorted({b for t in texts for b in set(t) if b >= 0x80 or 97 <= b <= 122})
         for k, b in enumerate(used):
             self.symbol[b] = 3 + k

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import hot, scratch
 from .components import connected_components
 from .kernels import SPACES, U, grams, mix, strings, words_of_rows
 
@@ -202,9 +202,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = scratch.save(docs.mapInArrow(partial(_features, k=k, bands_n=bands, rows_n=rows_a_band), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
     full = rows.where("doc_id is not null and n_shingles > 0")
-    least = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    least = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    least = scratch.save(least, "distinct")
     # one row for each distinct set, under its least id
-    reps = full.select("doc_id", "d1", "d2", "n_shingles", "bands").join(least, ["doc_id", "d1", "d2", "n_shingles"], "left_semi")
+    reps = full.select("doc_id", "d1", "d2", "n_shingles", "bands").join(least.drop("rows"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi")
     members = reps.select("doc_id", F.explode("bands").alias("bucket"))
     least_of = members.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("bucket", "center")
     members = scratch.save(members.join(least_of, "bucket"), "buckets")
@@ -234,7 +235,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = first.select("node", "component").join(second.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
     final = final.select("node", F.coalesce("least", "component").alias("component")).unionAll(second.join(first.select("node"), "node", "left_anti").select("node", "component"))
 
-    by_set = least.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(by_set, ["d1", "d2", "n_shingles"], "left")
+    by_set = least.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("d1", "d2", "n_shingles", "rows", F.coalesce("component", "doc_id").alias("component_id"))
+    by_set = scratch.save(by_set, "classes")
+    # a set that very many documents share meets them by broadcast; rows without a set have nothing to meet
+    slim = rows.select("doc_id", "n_shingles", "d1", "d2")
+    out = hot.join(slim.where("doc_id is not null and n_shingles > 0"), by_set, ["d1", "d2", "n_shingles"], "rows", "left")
+    out = out.unionByName(slim.where("doc_id is null or n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -335,3 +335,86 @@ def test_passages_inside_removed_paragraphs():
     gone = [{"doc_id": 7, "start": 2, "length": 13}, {"doc_id": 7, "start": 4, "length": 3}, {"doc_id": 9, "start": 1, "length": 50}]
     assert paragraphs.inside(found, gone).tolist() == [True, False, False, False]
     assert not paragraphs.inside(found, None).any() and len(paragraphs.inside(found[:0], gone)) == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_patterned_words_do_not_collide(spark):
+    """Polynomial hashes mod 2**64 give a Thue-Morse word and its complement one value."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, k=4).collect()} == {1: 1, 2: 2, 3: 1}
+    items = spark.createDataFrame([(1, b)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.contamination(docs, items).where("contaminated").collect()] == [2]
+    for size in (1, 8, 9, 64, 128, 129, 1024):  # lanes, and words beyond them
+        raw = np.frombuffer(f"{a[:size]} {b[:size]} {a[:size]}".encode(), np.uint8)
+        h = kernels.words(raw, kernels.SPACES)[0]
+        assert h[0] == h[2] != h[1]
+
+
+def test_outputs_never_clash_with_columns(spark):
+    rows = [(1, "a line of some length", 5, "x"), (2, "a line of some length", 6, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id long, Gone string")
+    out = {r["doc_id"]: r for r in linededup.drop_repeated_lines(df).collect()}
+    assert [out[k]["gone_id"] for k in (1, 2)] == [5, 6] and [out[k]["Gone"] for k in (1, 2)] == ["x", "y"] and out[2]["text"] == ""
+    pages = spark.createDataFrame([(1, "http://a.b/x", "mine")], "page_id long, url string, fits string")
+    assert urlfilter.url_verdicts(pages, urlfilter.rule_table(spark, [("b", "/", "block")])).select("fits", "verdict").collect() == [("mine", "block")]
+
+
+def plain_phrases(text, training):
+    """Phrases of a greedy parse that are ended by what follows: the longest match, with a symbol the training text lacks if that comes next."""
+    n, at = 0, 0
+    while at < len(text):
+        size = 0
+        while at + size < len(text) and text[at : at + size + 1] in training:
+            size += 1
+        at += size
+        if at < len(text):
+            n += 1
+            at += text[at] not in training
+    return n
+
+
+def test_phrase_counts_against_a_plain_parse():
+    rng = random.Random(8)
+    training = {"aa": "".join(rng.choice("abc ") for _ in range(300)), "bb": "".join(rng.choice("bcd ") for _ in range(300))}
+    model = langid.Model(training)
+    texts = ["".join(rng.choice("abcdz ") for _ in range(rng.randint(1, langid.SEGMENT))) for _ in range(80)]
+    counts = model.phrases([langid.plain(t) for t in texts])
+    for k, name in enumerate(model.names):
+        assert [round(x * len(t) / model.bits[k]) for x, t in zip(counts[:, k], texts, strict=True)] == [plain_phrases(t, training[name]) for t in texts]
+
+
+def test_paragraphs_against_all_pairs(spark):
+    """Every pair of lines with Jaccard 0.8 at least shares a cluster, and clusters hold no other lines."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(4000)]
+    base = [[rng.choice(words) for _ in range(rng.randint(6, 90))] for _ in range(25)]
+    docs = {}
+    for i in range(40):
+        lines = []
+        for _ in range(3):
+            line = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                line[rng.randrange(len(line))] = rng.choice(words)
+            lines.append(" ".join(line))
+        docs[i] = "\n".join(lines)
+    spans, at = {}, 0
+    for i, t in docs.items():
+        at = 0
+        for line in t.split("\n"):
+            spans[i, at] = brute.shingles(line, 5)
+            at += len(line.encode()) + 1
+    component = brute.components(sorted(spans), lambda a, b: 100 * len(spans[a] & spans[b]) >= 80 * len(spans[a] | spans[b]))
+    groups = {}
+    for place, c in component.items():
+        groups.setdefault(c, set()).add(place)
+    want = {frozenset(g) for g in groups.values() if len({d for d, _ in g}) > 1}
+    got = {}
+    for r in paragraphs.repeated_paragraphs(frame(spark, docs)).collect():
+        if (r["doc_id"], r["start"]) in spans:
+            got.setdefault(r["cluster"], set()).add((r["doc_id"], r["start"]))
+    assert want <= {frozenset(g) for g in got.values()}
