@@ -43,6 +43,32 @@ def normal_label_any(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def normal_text_any(texts: pd.Series) -> pd.Series:
+    """NFKD, marks dropped, case folded; spaces stay."""
+    return texts.map(lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).casefold(), na_action="ignore")
+
+
+def contains_any_case(c: Column, part: str) -> Column:
+    """Whether a text holds ``part`` in any case; null is False."""
+    return F.coalesce(F.contains(F.lower(c), F.lit(part.lower())), F.lit(False))
+
+
+def code_text(c: Column) -> Column:
+    """A code as text: whole numbers without a fraction, ``NA`` for null."""
+    return F.coalesce(category_text(c), F.lit("NA"))
+
+
+def null_last(c: Column) -> Column:
+    """A sort key in which null stands for infinity."""
+    return F.coalesce(c.cast("double"), F.lit(float("inf")))
+
+
+def hash48(*parts: Column) -> Column:
+    """48 bits of the MD5 of the parts' texts joined by colons; any engine with MD5 gives the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 12), 16, 10).cast("long")
+
+
 def category_text(c: Column) -> Column:
     """Canonical category: whole numbers without a fraction, anything else as it is."""
     d = c.cast("string").try_cast("double")

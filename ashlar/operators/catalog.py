@@ -103,8 +103,55 @@ def dictionary(df: DataFrame, pairs: dict[str, str], continuous: Sequence[str] =
     return out.select("column", place[F.col("column")].alias("layer"), kind.alias("statistical_type"), F.col("distinct_n").alias("n_unique"), "missing_n", domain.alias("domain"), (kind != "constant").alias("model_candidate"))
 
 
+def unique_names(names: Sequence[str]) -> list[str]:
+    """Names once each, in the order of their first places."""
+    return list(dict.fromkeys(names))
+
+
+def columns_by_rule(ranking: DataFrame, always: Sequence[str], prefix: str, least_pct: float) -> list[str]:
+    """The priority columns, then those that start with ``prefix`` and are null in ``least_pct`` percent or more; a row for each column."""
+    more = ranking.where(F.col("column").startswith(prefix) & (F.col("missing_pct") >= least_pct)).orderBy("column").collect()
+    return unique_names([*always, *(r["column"] for r in more)])
+
+
+def leakage(df: DataFrame, source: str, candidates: Sequence[str], metadata: Sequence[str] = METADATA) -> DataFrame:
+    """(position, column, reason, action): the target's source, columns that are functions of it, and their label columns.
+
+    The list is ordered and holds a column once; columns of the sample design
+    follow for review.  A row for each such column.
+    """
+    from .quality import functional_dependents
+
+    found = {r["candidate"] for r in functional_dependents(df, source, candidates).where("is_derivative").collect()}
+    proxies = [c for c in candidates if c in found]
+    twin = lambda c: [t for t in [label_column(c, df.columns)] if t]
+    rows = [(source, "TARGET_SOURCE", "exclude")] + [(t, "TARGET_SOURCE_LABEL", "exclude") for t in twin(source)]
+    rows += [x for c in proxies for x in [(c, "HARD_LEAKAGE", "exclude"), *((t, "HARD_LEAKAGE_LABEL", "exclude") for t in twin(c))]]
+    rows += [(c, "SAMPLE_DESIGN", "review") for c in metadata if c in df.columns]
+    first = {c: (why, what) for c, why, what in reversed(rows)}
+    return df.sparkSession.createDataFrame([(i + 1, c, *first[c]) for i, c in enumerate(unique_names([x[0] for x in rows]))], "position int, column string, reason string, action string")
+
+
+def full_dictionary(df: DataFrame, pairs: dict[str, str], continuous: Sequence[str], leaks: DataFrame) -> DataFrame:
+    """``dictionary`` plus role, confidence and basis of the type, null share and notes."""
+    d = dictionary(df, pairs, continuous).join(leaks.select("column", "reason", "action"), "column", "left")
+    t, n = F.col("statistical_type"), df.count()
+    role = F.when(F.col("reason") == "TARGET_SOURCE", "target_source").when(F.col("action") == "exclude", "leakage").when(F.col("layer") == "metadata", "design").otherwise("feature")
+    sure = t.isin("binary_categorical", "continuous", "constant")
+    basis = F.when(t == "constant", "one value").when(t == "continuous", "declared continuous").when(t == "binary_categorical", "two codes with two labels").when(t == "ordinal_categorical", "labels form a known scale").when(t == "nominal_categorical", "labels form no known scale").otherwise("labels are missing or only partly on a scale")
+    note = F.concat_ws("; ", F.when(F.col("missing_n") * 100 >= 40 * n, F.lit("high missingness")), F.when(t == "unknown_categorical", F.lit("type needs review")), F.when(F.col("action") == "exclude", F.lit("not a feature")))
+    return d.select("column", "layer", role.alias("role"), "statistical_type", F.when(sure, "high").when(t == "unknown_categorical", "low").otherwise("medium").alias("confidence"), basis.alias("basis"), "n_unique", "missing_n", F.when(F.lit(n) > 0, F.col("missing_n") * 100.0 / n).otherwise(0.0).alias("missing_pct"), "domain", note.alias("notes"), (F.col("model_candidate") & (role == "feature")).alias("model_candidate"))
+
+
+def semantic_review(plan: DataFrame, decisions: dict[str, tuple[str, str]]) -> DataFrame:
+    """(column, structure, action, decision, reason): an encoding plan with what a reviewer decided; ``pending`` where nobody did."""
+    pick = lambda i, other: F.coalesce(*(F.when(F.col("column") == c, F.lit(x[i])) for c, x in decisions.items()), F.lit(other))
+    structure = F.when(F.col("action") == "ordinal", "ordered").when(F.col("action") == "scale", "numeric").otherwise("unordered")
+    return plan.select("column", structure.alias("structure"), "action", pick(0, "pending").alias("decision"), pick(1, "not reviewed").alias("reason"))
+
+
 def contract(catalog: DataFrame, excluded: dict[str, str]) -> DataFrame:
-    """``catalog`` plus exclusion_reason and included: candidates without a reason against them."""
+    """``catalog`` plus exclusion_reason and included: candidates without a reason against them (``leakage`` gives these)."""
     reason = F.coalesce(*(F.when(F.col("column") == c, F.lit(r)) for c, r in excluded.items()), F.when(~F.col("model_candidate"), "NOT_A_CANDIDATE"), F.lit("INCLUDED"))
     return catalog.select("column", "statistical_type", reason.alias("exclusion_reason"), (reason == "INCLUDED").alias("included"))
 

@@ -147,3 +147,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, corr, covar) of all column pairs a <= b, in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     return _long(df, (), [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr"), F.covar_samp(a, b).alias("covar")) for a, b in pairs])
+
+
+def value_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, finite, whole, binary): whether all values are finite (nulls aren't), whole numbers, or 0 and 1."""
+    rows = []
+    for c in columns:
+        x = finite(F.col(c))
+        every = lambda cond: F.coalesce(F.bool_and(cond), F.lit(True))
+        rows.append(F.struct(F.lit(c).alias("column"), every(x.isNotNull()).alias("finite"), every(x == F.rint(x)).alias("whole"), every(x.isin(0.0, 1.0)).alias("binary")))
+    return _long(df, (), rows)

@@ -73,6 +73,20 @@ def fit(df: DataFrame, columns: Sequence[str]) -> Components:
     return Components(columns, means, scales, np.maximum(values[order], 0), loadings * np.sign(lead)[:, None])
 
 
+def reconstruction(c: Components, spark: SparkSession) -> DataFrame:
+    """(a, b, covariance) for a <= b: the standardised covariance that variances and loadings give back; columns squared, whatever the rows."""
+    whole = (c.loadings.T * c.variances) @ c.loadings
+    return spark.createDataFrame([(c.names[i], c.names[j], float(whole[i, j])) for i in range(len(whole)) for j in range(i, len(whole))], "a string, b string, covariance double")
+
+
+def component_checks(c: Components, scores: DataFrame, k: int, tolerance: float = 1e-8) -> DataFrame:
+    """One row: loadings orthonormal, variances descending, and the means of the first k scores of the rows it learned from zero."""
+    means = scores.agg(*(F.avg(f"PC{i + 1}") for i in range(k))).first()
+    unit = float(np.abs(c.loadings @ c.loadings.T - np.eye(len(c.loadings))).max())
+    centred = float(max(abs(m or 0.0) for m in means))
+    return scores.sparkSession.createDataFrame([(unit <= tolerance, bool((np.diff(c.variances) <= 1e-12).all()), centred <= tolerance)], "orthonormal boolean, descending boolean, centred boolean")
+
+
 def thresholds(variances: DataFrame, wanted: Sequence[float]) -> DataFrame:
     """(threshold, k, variance_at_k): the least number of components that reach each threshold."""
     rows = [F.struct(F.lit(float(t)).alias("threshold"), F.min(F.when(F.col("cumulative_explained_variance") >= t, F.col("i"))).alias("k"), F.min(F.when(F.col("cumulative_explained_variance") >= t, F.col("cumulative_explained_variance"))).alias("variance_at_k")) for t in wanted]

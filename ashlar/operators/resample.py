@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import hash48
 from .boundary import hash_order
 
 BLOCK = 2048
@@ -70,7 +71,7 @@ def oversample(df: DataFrame, key: str, vector: str, target: str, minority, k: i
     ids = small.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     drawn = _marked(ids.join(degree, "id"), hash_order("id", seed), "id", extra).withColumn("round", F.explode(rounds))
     drawn = drawn.where((F.col("round") < wanted // n_small) | F.col("extra"))
-    drawn = drawn.withColumn("rank", (F.pmod(F.xxhash64(F.lit(seed), "id", "round"), F.col("d")) + 1).cast("int")).withColumn("u", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "round"), F.lit(1 << 30)) / float(1 << 30))
+    drawn = drawn.withColumn("rank", (F.pmod(hash48(F.lit(f"{seed}:rank"), F.col("id"), F.col("round")), F.col("d")) + 1).cast("int")).withColumn("u", hash48(F.lit(f"{seed}:place"), F.col("id"), F.col("round")) / float(1 << 48))
     out = drawn.join(near.select("id", "rank", "other"), ["id", "rank"]).join(ids.select(F.col("id").alias("other"), F.col("v").alias("w")), "other")
     made = F.transform(F.arrays_zip("v", "w"), lambda x: x["v"] + F.col("u") * (x["w"] - x["v"]))
     return base.unionByName(out.select(F.col("id").alias("source_id"), F.col("other").alias("neighbour_id"), made.alias("v"), F.lit(minority).alias("target"), F.lit("synthetic").alias("sample_origin")))

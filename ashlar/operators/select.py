@@ -79,10 +79,12 @@ def continuous_information(df: DataFrame, key: str, column: str, target: str, k:
     near = F.array_sort(F.filter(F.concat(own, F.transform("halo", lambda h: F.abs(h - F.col("x")))), lambda g: g.isNotNull()))
     kk = F.least(F.lit(k), F.col("ny") - 1)
     points = placed.join(F.broadcast(halo), ["y", "b"]).select("id", "ny", "x", kk.alias("k"), F.element_at(near, kk.cast("int")).alias("r"))
+    # the radius ends before the k-th neighbour, whatever the rounding
+    inward = F.lit(4e-16) * (F.abs("x") + F.col("r"))
     events = points.select(F.explode(F.array(
         F.struct(F.col("x").alias("v"), F.lit(1).alias("tag"), F.lit(0).alias("sign"), "id", "ny", "k"),
-        F.struct((F.col("x") + F.col("r")).alias("v"), F.lit(0).alias("tag"), F.lit(1).alias("sign"), "id", "ny", "k"),
-        F.struct((F.col("x") - F.col("r")).alias("v"), F.lit(2).alias("tag"), F.lit(-1).alias("sign"), "id", "ny", "k"),
+        F.struct((F.col("x") + F.col("r") - inward).alias("v"), F.lit(0).alias("tag"), F.lit(1).alias("sign"), "id", "ny", "k"),
+        F.struct((F.col("x") - F.col("r") + inward).alias("v"), F.lit(2).alias("tag"), F.lit(-1).alias("sign"), "id", "ny", "k"),
     )).alias("e")).select("e.*")
     # rows before a range: its number of points is known, a table of the ranges
     count = dict(placed.groupBy("b").agg(F.count("*")).collect())

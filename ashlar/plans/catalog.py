@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalar
 from ..operators import boundary, catalog, checks, lineage, profile, quality, reduce, resample, select, stages
 from ..operators.quantiles import kept
 from . import survey as survey_view
@@ -118,14 +119,17 @@ def null_ranking(spark, sf_dir):
     return profile.null_ranking(_survey(spark, sf_dir), NULLABLE)
 
 
-@query("""SELECT "column", CASE WHEN layer IS NULL THEN 'q_response' ELSE layer END AS layer, statistical_type, n_unique, missing_n, domain, true AS model_candidate FROM (
+_DICTIONARY = """SELECT "column", CASE WHEN layer IS NULL THEN 'q_response' ELSE layer END AS layer, statistical_type, n_unique, missing_n, domain, true AS model_candidate FROM (
  SELECT 'q2' AS "column", NULL AS layer, 'binary_categorical' AS statistical_type, count(DISTINCT q2) AS n_unique, count(*) - count(q2) AS missing_n, '["Hombre","Mujer"]' AS domain FROM survey
  UNION ALL SELECT 'q6', NULL, 'ordinal_categorical', count(DISTINCT q6), count(*) - count(q6), '["Algunas veces","Casi siempre","Nunca","Rara vez","Siempre"]' FROM survey
  UNION ALL SELECT 'q28', NULL, 'unknown_categorical', count(DISTINCT q28), count(*) - count(q28), '[' || (SELECT string_agg('"' || t || '"', ',' ORDER BY t) FROM (SELECT DISTINCT texto_q28 AS t FROM survey WHERE q28 IS NOT NULL)) || ']' FROM survey
  UNION ALL SELECT 'q49', NULL, 'ordinal_categorical', count(DISTINCT q49), count(*) - count(q49), '[' || (SELECT string_agg('"' || t || '"', ',' ORDER BY t) FROM (SELECT DISTINCT texto_q49 AS t FROM survey WHERE q49 IS NOT NULL)) || ']' FROM survey
  UNION ALL SELECT 'qnpa5g', 'qn_derived', 'binary_categorical', count(DISTINCT qnpa5g), count(*) - count(qnpa5g), '["No","Sí"]' FROM survey
  UNION ALL SELECT 'q4', NULL, 'continuous', count(DISTINCT q4), count(*) - count(q4), format('{:.2f}..{:.2f}', min(q4), max(q4)) FROM survey
- UNION ALL SELECT 'q5', NULL, 'continuous', count(DISTINCT q5), count(*) - count(q5), format('{:.2f}..{:.2f}', min(q5), max(q5)) FROM survey)""", survey=True)
+ UNION ALL SELECT 'q5', NULL, 'continuous', count(DISTINCT q5), count(*) - count(q5), format('{:.2f}..{:.2f}', min(q5), max(q5)) FROM survey)"""
+
+
+@query(_DICTIONARY, survey=True)
 def data_dictionary(spark, sf_dir):
     return catalog.dictionary(_survey(spark, sf_dir), CODED, ["q4", "q5"])
 
@@ -190,7 +194,8 @@ def label_target(spark, sf_dir):
     return quality.with_threshold_target(s, quality.day_map(s, "q49", "texto_q49"), "q49", 5).select("record", "target")
 
 
-@query("""SELECT q49 AS code, min(texto_q49) AS label, CAST(q49 - 1 AS BIGINT) AS days, true AS valid FROM survey WHERE q49 IS NOT NULL GROUP BY q49""", survey=True)
+@query("""WITH m AS (SELECT q49 AS code, min(texto_q49) AS label, count(DISTINCT texto_q49) AS labels, CAST(nullif(regexp_extract(strip_accents(lower(min(texto_q49))), '^(\\d+)\\s+dias?$', 1), '') AS BIGINT) AS days FROM survey WHERE q49 IS NOT NULL GROUP BY q49)
+SELECT code, label, days, (SELECT max(labels) = 1 AND count(days) = count(*) AND count(DISTINCT days) = count(*) AND list_sort(list(days)) = [0, 1, 2, 3, 4, 5, 6, 7] FROM m) AS valid FROM m""", survey=True)
 def label_day_map(spark, sf_dir):
     return quality.day_map(_survey(spark, sf_dir), "q49", "texto_q49")
 
@@ -259,14 +264,46 @@ def branching_test(spark, sf_dir):
 
 @query("""WITH p AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, count(*) FILTER (WHERE {a} IS NULL) AS missing_a, count(*) FILTER (WHERE {b} IS NULL) AS missing_b, count(*) FILTER (WHERE {a} IS NULL AND {b} IS NULL) AS both_missing FROM survey" for i, a in enumerate(NULLABLE) for b in NULLABLE[i + 1 :]) + """),
 s AS (SELECT *, CASE WHEN missing_a > 0 THEN both_missing * 100.0 / missing_a ELSE 0 END AS x, CASE WHEN missing_b > 0 THEN both_missing * 100.0 / missing_b ELSE 0 END AS y, CASE WHEN missing_a + missing_b - both_missing > 0 THEN both_missing * 1.0 / (missing_a + missing_b - both_missing) ELSE 0 END AS j FROM p)
-SELECT column_a, column_b, missing_a, missing_b, both_missing, round(x, 6) AS missing_a_shared_pct, round(y, 6) AS missing_b_shared_pct, round(j, 6) AS jaccard_missing, round(least(x, y), 6) AS min_shared_pct FROM s ORDER BY least(x, y) DESC, both_missing DESC, column_a, column_b LIMIT 10""", survey=True)
+SELECT column_a, column_b, missing_a, missing_b, both_missing, round(x, 6) AS missing_a_shared_pct, round(y, 6) AS missing_b_shared_pct, round(j, 6) AS jaccard_missing, round(least(x, y), 6) AS min_shared_pct FROM s WHERE least(x, y) >= 80 OR (column_a = 'q4' AND column_b = 'q5') ORDER BY least(x, y) DESC, both_missing DESC, column_a, column_b LIMIT 50""", survey=True)
 def null_cooccurrence(spark, sf_dir):
-    return quality.null_cooccurrence(_survey(spark, sf_dir), NULLABLE, top=10)
+    return quality.null_cooccurrence(_survey(spark, sf_dir), NULLABLE, least_pct=80.0, top=50, always=[("q4", "q5")])
+
+
+_BRANCH = """SELECT 'qn28' AS dependent_col, 'texto_q28' AS filter_col, count(*) FILTER (WHERE s) AS n_filter_non_applicable, count(*) FILTER (WHERE m) AS n_missing_dependent, count(*) FILTER (WHERE s <> m) AS mismatch_n, count(*) FILTER (WHERE s AND NOT m) AS observed_though_skipped_n, count(*) FILTER (WHERE s <> m) = 0 AS exact_mask_match,
+ CASE WHEN count(*) FILTER (WHERE s) = 0 THEN 'NO_IDENTIFICABLE' WHEN count(*) FILTER (WHERE s <> m) = 0 THEN 'ESTRUCTURAL_DEMOSTRADO' WHEN count(*) FILTER (WHERE s AND NOT m) = 0 THEN 'ESTRUCTURAL_POSIBLE_BRANCHING' ELSE 'NO_IDENTIFICABLE' END AS classification FROM (SELECT qn28 IS NULL AS m, starts_with(strip_accents(lower(texto_q28)), 'nunca ') AS s FROM survey)"""
+_MECHANISM = f"SELECT CASE WHEN count(*) FILTER (WHERE absolute_range_pp >= 5) >= 2 THEN 'MAR_HIPOTESIS_RESPALDADA' WHEN count(*) FILTER (WHERE absolute_range_pp >= 5) = 1 THEN 'MAR_HIPOTESIS_DEBIL' END FROM ({_EVIDENCE})"
+
 
+@query(_BRANCH, survey=True)
+def branching_found(spark, sf_dir):
+    """The dependents whose filter question is found by name."""
+    return quality.branching_table(_survey(spark, sf_dir), NULLABLE)
 
-@query(f"""SELECT *, CASE WHEN missing_n = 0 THEN 'SIN_FALTANTES' WHEN missing_n = n_rows THEN 'VACIA' WHEN "column" = 'qn28' THEN 'ESTRUCTURAL_POSIBLE_BRANCHING' WHEN "column" IN ('q4', 'q5') THEN 'MAR_HIPOTESIS_DEBIL' WHEN missing_pct >= 40 THEN 'ALTA_SIN_EXPLICACION' ELSE 'NO_IDENTIFICABLE' END AS diagnosis FROM ({_each(_NULLS, NULLABLE, 'survey')})""", survey=True)
+
+@query(f"""SELECT *, CASE WHEN missing_n = 0 THEN 'SIN_FALTANTES' WHEN missing_n = n_rows THEN 'VACIA' WHEN "column" = 'qn28' AND (SELECT classification LIKE 'ESTRUCTURAL%' FROM ({_BRANCH})) THEN (SELECT classification FROM ({_BRANCH})) WHEN "column" IN ('q4', 'q5') AND ({_MECHANISM}) IS NOT NULL THEN ({_MECHANISM}) WHEN missing_pct >= 40 THEN 'ALTA_SIN_EXPLICACION' ELSE 'NO_IDENTIFICABLE' END AS diagnosis FROM ({_each(_NULLS, NULLABLE, 'survey')})""", survey=True)
 def null_diagnosis(spark, sf_dir):
-    return quality.null_diagnosis(profile.null_ranking(_survey(spark, sf_dir), NULLABLE), {"qn28": "ESTRUCTURAL_POSIBLE_BRANCHING"}, {"q4": "MAR_HIPOTESIS_DEBIL", "q5": "MAR_HIPOTESIS_DEBIL"})
+    return quality.diagnosis_from_data(_survey(spark, sf_dir), NULLABLE, ["q4", "q5"], ["target", "psu", "stratum", "q2"])
+
+
+@query("""SELECT round(a, 6) AS rate_a_pct, round(b, 6) AS rate_b_pct, round(abs(b - a), 6) AS absolute_difference_pp, round(CASE WHEN a > 0 THEN b / a END, 6) AS rate_ratio FROM (SELECT count(*) FILTER (WHERE q4 IS NULL AND q5 IS NULL AND target = 0) * 100.0 / count(*) FILTER (WHERE target = 0) AS a, count(*) FILTER (WHERE q4 IS NULL AND q5 IS NULL AND target = 1) * 100.0 / count(*) FILTER (WHERE target = 1) AS b FROM survey)""", survey=True)
+def rate_contrast(spark, sf_dir):
+    return quality.rate_contrast(_survey(spark, sf_dir), _joint(), "target", 0, 1)
+
+
+@query(_each("'{c}' AS \"column\", count({c}) AS observed_n, count(*) FILTER (WHERE {c} IS NOT NULL AND try_cast(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL) AS invalid_n", ["q4", "q6", "texto_q28"], "survey"), survey=True)
+def invalid_numbers(spark, sf_dir):
+    return quality.invalid_numbers(_survey(spark, sf_dir), ["q4", "q6", "texto_q28"])
+
+
+@query("SELECT record, q2, q28, q49, q6 FROM survey", survey=True)
+def dense_columns(spark, sf_dir):
+    """Columns that are null in more than 20 percent of the rows go."""
+    return quality.without_null_columns(_survey(spark, sf_dir).select("record", *NULLABLE), NULLABLE, 20.0)
+
+
+@query(_each("'{c}' AS \"column\", bool_and({c} IS NOT NULL) AS finite, coalesce(bool_and({c} = round({c})), true) AS whole, coalesce(bool_and({c} IN (0, 1)), true) AS binary", ["target", "q6", "q4", "record"], "survey"), survey=True)
+def value_kinds(spark, sf_dir):
+    return profile.value_kinds(_survey(spark, sf_dir), ["target", "q6", "q4", "record"])
 
 
 @query(f"SELECT count(*) FILTER (WHERE missing_pct = 0) AS none_n, count(*) FILTER (WHERE missing_pct = 100) AS all_n, count(*) FILTER (WHERE missing_pct > 0 AND missing_pct < 100) AS between_n FROM ({_RATE.replace('{g}', 'psu')})", survey=True)
@@ -331,10 +368,17 @@ def outlier_cases(spark, sf_dir):
     return quality.case_review(quality.flagged(_survey(spark, sf_dir), ["q4", "q5"], SURVEY_RULES), "record", ["q4", "q5"])
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS \"check\", count(*) FILTER (WHERE {w}) AS affected_n, CASE WHEN count(*) FILTER (WHERE {w}) > 0 THEN 'REVISAR' ELSE 'OK' END AS classification FROM survey" for n, w in (("height_without_weight", "q4 IS NOT NULL AND q5 IS NULL"), ("weight_without_height", "q4 IS NULL AND q5 IS NOT NULL"), ("not_positive", "q4 <= 0 OR q5 <= 0"), ("both_missing", "q4 IS NULL AND q5 IS NULL"), ("ratio_above_60", "q5 / (q4 * q4) > 60"))), survey=True)
+_COHERENCE = {
+    "height_not_numeric": "q4 IS NOT NULL AND try_cast(CAST(q4 AS VARCHAR) AS DOUBLE) IS NULL", "weight_not_numeric": "q5 IS NOT NULL AND try_cast(CAST(q5 AS VARCHAR) AS DOUBLE) IS NULL",
+    "height_without_weight": "q4 IS NOT NULL AND q5 IS NULL", "weight_without_height": "q4 IS NULL AND q5 IS NOT NULL", "both_missing": "q4 IS NULL AND q5 IS NULL", "height_not_positive": "q4 <= 0", "weight_not_positive": "q5 <= 0",
+    "height_out_of_range": "q4 < 1.2 OR q4 > 2.05", "weight_out_of_range": "q5 < 27 OR q5 > 180", "ratio_above": "q5 / (q4 * q4) > 60",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"check\", count(*) FILTER (WHERE {w}) AS affected_n, CASE WHEN count(*) FILTER (WHERE {w}) > 0 THEN 'REVISAR' ELSE 'OK' END AS classification, count(*) FILTER (WHERE {w}) || ' of ' || count(*) || ' rows (' || printf('%.3f', count(*) FILTER (WHERE {w}) * 100.0 / count(*)) || '%)' AS evidence FROM survey" for n, w in _COHERENCE.items()), survey=True)
 def coherence_checks(spark, sf_dir):
-    h, w = F.col("q4"), F.col("q5")
-    return quality.coherence(_survey(spark, sf_dir), {"height_without_weight": h.isNotNull() & w.isNull(), "weight_without_height": h.isNull() & w.isNotNull(), "not_positive": (h <= 0) | (w <= 0), "both_missing": h.isNull() & w.isNull(), "ratio_above_60": quality.body_ratio(h, w) > 60})
+    s = _survey(spark, sf_dir)
+    return quality.with_evidence(quality.coherence(s, quality.body_checks("q4", "q5", "q4", "q5")), s.count())
 
 
 @query("SELECT record, round(q5 / (q4 * q4), 6) AS imc FROM survey WHERE q4 IS NOT NULL", survey=True)
@@ -370,9 +414,88 @@ def cluster_partition_status(spark, sf_dir):
     return boundary.cluster_partitions(_split(spark, sf_dir), "psu")
 
 
-@query("""SELECT "column", statistical_type, exclusion_reason, exclusion_reason = 'INCLUDED' AS included FROM (VALUES ('q49', 'ordinal_categorical', 'TARGET_SOURCE'), ('qnpa5g', 'binary_categorical', 'HARD_LEAKAGE'), ('q6', 'ordinal_categorical', 'INCLUDED'), ('q2', 'binary_categorical', 'INCLUDED'), ('q28', 'unknown_categorical', 'INCLUDED'), ('q4', 'continuous', 'INCLUDED'), ('q5', 'continuous', 'INCLUDED')) t("column", statistical_type, exclusion_reason)""")
+#: in SQL: which columns are functions of the target's source
+_DERIVED = "derived AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, bool_and((q49 IS NULL) = ({c} IS NULL)) AND (SELECT max(d) FROM (SELECT count(DISTINCT {c}) AS d FROM survey WHERE q49 IS NOT NULL GROUP BY q49)) <= 1 AND count(DISTINCT {c}) > 1 AS is_derived FROM survey" for c in ("qnpa5g", "q6", "q2", "q28")) + ")"
+_LEAKS = f"""{_DERIVED}, leaks AS (SELECT row_number() OVER (ORDER BY o, t) AS position, c AS "column", reason, action FROM (SELECT 0 AS o, 0 AS t, 'q49' AS c, 'TARGET_SOURCE' AS reason, 'exclude' AS action UNION ALL SELECT 0, 1, 'texto_q49', 'TARGET_SOURCE_LABEL', 'exclude'
+ UNION ALL SELECT list_position(['qnpa5g', 'q6', 'q2', 'q28'], c), 0, c, 'HARD_LEAKAGE', 'exclude' FROM derived WHERE is_derived UNION ALL SELECT list_position(['qnpa5g', 'q6', 'q2', 'q28'], c), 1, 'texto_' || c, 'HARD_LEAKAGE_LABEL', 'exclude' FROM derived WHERE is_derived
+ UNION ALL SELECT 10, i, c, 'SAMPLE_DESIGN', 'review' FROM (VALUES (1, 'weight'), (2, 'stratum'), (3, 'psu'), (4, 'sitio'), (5, 'record')) v(i, c)))"""
+
+
+def _leaks(df):
+    return catalog.leakage(df, "q49", ["qnpa5g", "q6", "q2", "q28"])
+
+
+@query(f"WITH {_LEAKS} SELECT * FROM leaks", survey=True)
+def leakage_list(spark, sf_dir):
+    return _leaks(_survey(spark, sf_dir))
+
+
+@query(f"""WITH {_LEAKS} SELECT d."column", statistical_type, coalesce(reason, 'INCLUDED') AS exclusion_reason, reason IS NULL AS included FROM ({_DICTIONARY}) d LEFT JOIN leaks l ON l."column" = d."column" AND l.action = 'exclude'""", survey=True)
 def feature_contract(spark, sf_dir):
-    return catalog.contract(catalog.dictionary(_survey(spark, sf_dir), CODED, ["q4", "q5"]), {"q49": "TARGET_SOURCE", "qnpa5g": "HARD_LEAKAGE"})
+    s = _survey(spark, sf_dir)
+    reasons = {r["column"]: r["reason"] for r in _leaks(s).where("action = 'exclude'").collect()}
+    return catalog.contract(catalog.dictionary(s, CODED, ["q4", "q5"]), reasons)
+
+
+@query(f"""WITH {_LEAKS}, n AS (SELECT count(*) AS n FROM survey), d AS (SELECT d.*, l.reason, CASE WHEN reason = 'TARGET_SOURCE' THEN 'target_source' WHEN action = 'exclude' THEN 'leakage' WHEN layer = 'metadata' THEN 'design' ELSE 'feature' END AS role FROM ({_DICTIONARY}) d LEFT JOIN leaks l ON l."column" = d."column")
+SELECT "column", layer, role, statistical_type, CASE WHEN statistical_type IN ('binary_categorical', 'continuous') THEN 'high' WHEN statistical_type = 'unknown_categorical' THEN 'low' ELSE 'medium' END AS confidence,
+ CASE statistical_type WHEN 'continuous' THEN 'declared continuous' WHEN 'binary_categorical' THEN 'two codes with two labels' WHEN 'ordinal_categorical' THEN 'labels form a known scale' WHEN 'nominal_categorical' THEN 'labels form no known scale' ELSE 'labels are missing or only partly on a scale' END AS basis,
+ n_unique, missing_n, round(missing_n * 100.0 / n, 6) AS missing_pct, domain, concat_ws('; ', CASE WHEN missing_n * 100 >= 40 * n THEN 'high missingness' END, CASE WHEN statistical_type = 'unknown_categorical' THEN 'type needs review' END, CASE WHEN role IN ('target_source', 'leakage') THEN 'not a feature' END) AS notes, role = 'feature' AS model_candidate FROM d, n""", survey=True)
+def full_dictionary(spark, sf_dir):
+    s = _survey(spark, sf_dir)
+    return catalog.full_dictionary(s, CODED, ["q4", "q5"], _leaks(s))
+
+
+@query(f"""SELECT "column", CASE action WHEN 'ordinal' THEN 'ordered' WHEN 'scale' THEN 'numeric' ELSE 'unordered' END AS structure, action, CASE "column" WHEN 'q6' THEN 'keep' WHEN 'q28' THEN 'change' ELSE 'pending' END AS decision, CASE "column" WHEN 'q6' THEN 'a frequency scale' WHEN 'q28' THEN 'ages have an order' ELSE 'not reviewed' END AS reason
+FROM (SELECT "column", CASE statistical_type WHEN 'continuous' THEN 'scale' WHEN 'ordinal_categorical' THEN 'ordinal' ELSE 'onehot' END AS action FROM ({_DICTIONARY}))""", survey=True)
+def semantic_review(spark, sf_dir):
+    plan = catalog.encoding_plan(catalog.dictionary(_survey(spark, sf_dir), CODED, ["q4", "q5"]))
+    return catalog.semantic_review(plan, {"q6": ("keep", "a frequency scale"), "q28": ("change", "ages have an order")})
+
+
+@query("WITH " + _SPLIT.strip() + " SELECT record, target, partition, row_number() OVER (ORDER BY record) - 1 AS position FROM split", survey=True)
+def split_positions(spark, sf_dir):
+    return checks.with_position(_split(spark, sf_dir).select("record", "target", "partition"), "record")
+
+
+@query("WITH " + _SPLIT.strip() + """, p AS (SELECT record, partition, row_number() OVER (ORDER BY record) - 1 AS position FROM split)
+SELECT 'column_order' AS "check", true AS passed, 'record,target,partition,position' AS detail UNION ALL SELECT 'unique_key', count(*) = count(DISTINCT record), CAST(count(DISTINCT record) AS VARCHAR) FROM p UNION ALL SELECT 'contiguous_position', max(position) - min(position) + 1 = count(*), CAST(count(DISTINCT position) AS VARCHAR) FROM p UNION ALL SELECT 'known_sides', count(*) FILTER (WHERE partition NOT IN ('train', 'test')) = 0, CAST(count(*) FILTER (WHERE partition NOT IN ('train', 'test')) AS VARCHAR) FROM p""", survey=True)
+def assignment_checks(spark, sf_dir):
+    return checks.valid_assignment(split_positions(spark, sf_dir)).table(spark)
+
+
+@query("WITH " + _SPLIT.strip() + " SELECT psu, count(*) FILTER (WHERE partition = 'train') AS train_n, count(*) FILTER (WHERE partition = 'test') AS test_n FROM split GROUP BY psu", survey=True)
+def side_counts(spark, sf_dir):
+    df = _split(spark, sf_dir)
+    side = lambda name: df.where(F.col("partition") == name).groupBy("psu").agg(F.count("*").alias(f"{name}_n"))
+    return checks.join_counts(side("train"), side("test"), "psu")
+
+
+@query("SELECT record, q6, row_number() OVER (ORDER BY record DESC) AS position FROM survey WHERE q6 = 5", survey=True)
+def keyed_gather(spark, sf_dir):
+    s = _survey(spark, sf_dir)
+    wanted = checks.with_position(s.where("q6 = 5").select("record", (-F.col("record")).alias("o")), "o").select("record", (F.col("position") + 1).alias("position"))
+    return checks.gathered(s.select("record", "q6"), "record", wanted)
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE d < 0) AS decreasing_n FROM (SELECT n - lag(n) OVER (ORDER BY psu) AS d FROM (SELECT psu, count(*) AS n FROM survey GROUP BY psu))", survey=True)
+def monotone_steps(spark, sf_dir):
+    return checks.monotone(_survey(spark, sf_dir).groupBy("psu").agg(F.count("*").alias("n")), "psu", "n")
+
+
+@query("SELECT DISTINCT texto_q28 AS label, trim(regexp_replace(strip_accents(lower(texto_q28)), '\\s+', ' ', 'g')) AS normal, strip_accents(lower(texto_q28)) AS bare FROM survey UNION SELECT DISTINCT texto_q49, trim(regexp_replace(strip_accents(lower(texto_q49)), '\\s+', ' ', 'g')), strip_accents(lower(texto_q49)) FROM survey", survey=True)
+def normal_labels(spark, sf_dir):
+    s = _survey(spark, sf_dir)
+    labels = s.select(F.col("texto_q28").alias("label")).union(s.select("texto_q49")).distinct()
+    return labels.select("label", scalar.normal_label_any("label").alias("normal"), scalar.normal_text_any("label").alias("bare"))
+
+
+@query("SELECT record, texto_q28 ILIKE '%NUNCA%' AS skipped, coalesce(CAST(q6 AS VARCHAR), 'NA') AS q6_code, row_number() OVER (ORDER BY q4 ASC NULLS LAST, record) AS place FROM survey", survey=True)
+def text_and_order(spark, sf_dir):
+    """Case-blind contains, codes as text, and places in an order that puts nulls at infinity."""
+    s = _survey(spark, sf_dir).withColumn("o", scalar.null_last(F.col("q4")))
+    out = checks.with_position(s, "o", "record")
+    return out.select("record", scalar.contains_any_case(F.col("texto_q28"), "NUNCA").alias("skipped"), scalar.code_text(F.col("q6")).alias("q6_code"), (F.col("position") + 1).alias("place"))
 
 
 @query("""SELECT "column", statistical_type, action, 'train' AS fit_partition FROM (VALUES ('q49', 'ordinal_categorical', 'ordinal'), ('qnpa5g', 'binary_categorical', 'onehot'), ('q6', 'ordinal_categorical', 'ordinal'), ('q2', 'binary_categorical', 'onehot'), ('q28', 'unknown_categorical', 'onehot'), ('q4', 'continuous', 'scale'), ('q5', 'continuous', 'scale')) t("column", statistical_type, action)""")
@@ -406,7 +529,7 @@ def joint_masks(spark, sf_dir):
     return stages.same_masks(_survey(spark, sf_dir), "q4", "q5")
 
 
-@query("SELECT 'q4' AS \"column\", CAST(0 AS BIGINT) AS changed_n UNION ALL SELECT 'q5', 0")
+@query(f"WITH {_IMPUTED} SELECT 'q4' AS \"column\", count(*) FILTER (WHERE s.q4 IS NOT NULL AND s.q4 IS DISTINCT FROM i.q4) AS changed_n FROM split s JOIN imputed i USING (record) UNION ALL SELECT 'q5', count(*) FILTER (WHERE s.q5 IS NOT NULL AND s.q5 IS DISTINCT FROM i.q5) FROM split s JOIN imputed i USING (record)", survey=True)
 def observed_unchanged(spark, sf_dir):
     return stages.unchanged(_split(spark, sf_dir), _imputed(spark, sf_dir), "record", ["q4", "q5"])
 
@@ -423,6 +546,16 @@ def standard_scale(spark, sf_dir):
     return stages.scaling_summary(stages.scale(df, stages.fit_scaler(df, ["q4", "q5"])), ["q4", "q5"])
 
 
+_SCALED = f"{_IMPUTED}, p AS (SELECT avg(q4) AS a4, stddev_pop(q4) AS s4, avg(q5) AS a5, stddev_pop(q5) AS s5 FROM imputed WHERE partition = 'train'), z AS (SELECT partition, (q4 - a4) / s4 AS q4, (q5 - a5) / s5 AS q5 FROM imputed, p)"
+_SPREAD = "partition, '{c}' AS \"column\", round(avg({c}) + 1e-10, 6) + 0.0 AS mean, round(stddev_pop({c}) + 1e-10, 6) AS std_ddof0, round(min({c}) + 1e-10, 6) AS min, round(max({c}) + 1e-10, 6) AS max"
+
+
+@query(f"WITH {_SCALED} " + _each(_SPREAD + ", 'before' AS stage", ["q4", "q5"], "imputed", "GROUP BY partition") + " UNION ALL " + _each(_SPREAD + ", 'after' AS stage", ["q4", "q5"], "z", "GROUP BY partition"), survey=True)
+def scaling_before_after(spark, sf_dir):
+    df = _imputed(spark, sf_dir)
+    return stages.scaling_before_after(df, stages.scale(df, stages.fit_scaler(df, ["q4", "q5"])), ["q4", "q5"])
+
+
 @query(f"WITH {_IMPUTED} " + _each("'{c}' AS \"column\", round(avg({c}), 6) AS mean_train, round(var_pop({c}), 6) AS variance_train, round(stddev_pop({c}), 6) AS scale_train", ["q4", "q5"], "imputed", "WHERE partition = 'train'"), survey=True)
 def scaler_params(spark, sf_dir):
     return stages.fit_scaler(_imputed(spark, sf_dir), ["q4", "q5"])
@@ -460,13 +593,13 @@ def onehot_encode(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS partition FROM orders), t AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS c FROM o WHERE partition = 'train')
-SELECT 'o_custkey' AS "column", CAST(o_custkey AS VARCHAR) AS category, count(*) AS test_n FROM o WHERE partition = 'test' AND CAST(o_custkey AS VARCHAR) NOT IN (SELECT c FROM t) GROUP BY 2""")
+SELECT 'o_custkey' AS "column", CAST(o_custkey AS VARCHAR) AS category, count(*) AS test_n, 'all_zero' AS policy FROM o WHERE partition = 'test' AND CAST(o_custkey AS VARCHAR) NOT IN (SELECT c FROM t) GROUP BY 2""")
 def unseen_audit(spark, sf_dir):
     df = _table(spark, sf_dir, "orders").withColumn("partition", F.when(F.col("o_orderkey") % 5 == 0, "test").otherwise("train"))
     return stages.unseen(df, stages.vocabulary(df, ["o_custkey"]), ["o_custkey"])
 
 
-@query("SELECT 'q6' AS \"column\", count(*) - count(q6) AS missing_before_n, count(*) - count(q6) AS encoded_n, true AS conserved FROM survey WHERE target IS NOT NULL UNION ALL SELECT 'q28', count(*) - count(q28), count(*) - count(q28), true FROM survey WHERE target IS NOT NULL", survey=True)
+@query(f"WITH {_ORDINAL}, n AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS missing_before_n, count(*) FILTER (WHERE coalesce(m.value, -2) = -1) AS encoded_n FROM split LEFT JOIN mapping m ON m.\"column\" = '{c}' AND m.category = coalesce(CAST({c} AS VARCHAR), 'sin_dato')" for c in ("q6", "q28")) + ") SELECT *, missing_before_n = encoded_n AS conserved FROM n", survey=True)
 def missing_conservation(spark, sf_dir):
     df = _split(spark, sf_dir)
     return stages.missing_conservation(df, stages.encode_ordinal(df, _mapping(df), ["q28", "q6"]), ["q28", "q6"])
@@ -504,7 +637,7 @@ def mi_discrete(spark, sf_dir):
 p AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, o_totalprice + size * (CAST('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 12) AS BIGINT) / 140737488355328.0 - 1) AS x FROM orders, s),
 q AS (SELECT *, count(*) OVER (PARTITION BY y) AS ny, lag(x, 1) OVER w AS a1, lag(x, 2) OVER w AS a2, lag(x, 3) OVER w AS a3, lead(x, 1) OVER w AS b1, lead(x, 2) OVER w AS b2, lead(x, 3) OVER w AS b3 FROM p WINDOW w AS (PARTITION BY y ORDER BY x, id)),
 r AS (SELECT id, ny, x, list_sort(list_filter([x - a1, x - a2, x - a3, b1 - x, b2 - x, b3 - x], lambda g: g IS NOT NULL))[3] AS r FROM q),
-e AS (SELECT x AS v, 1 AS tag, 0 AS s, id, ny FROM r UNION ALL SELECT x + r, 0, 1, id, ny FROM r UNION ALL SELECT x - r, 2, -1, id, ny FROM r),
+e AS (SELECT x AS v, 1 AS tag, 0 AS s, id, ny FROM r UNION ALL SELECT x + r - 4e-16 * (abs(x) + r), 0, 1, id, ny FROM r UNION ALL SELECT x - r + 4e-16 * (abs(x) + r), 2, -1, id, ny FROM r),
 c AS (SELECT *, sum(CASE WHEN tag = 1 THEN 1 ELSE 0 END) OVER (ORDER BY v, tag ROWS UNBOUNDED PRECEDING) AS run FROM e),
 m AS (SELECT id, ny, CAST(sum(s * run) AS BIGINT) AS m FROM c WHERE s <> 0 GROUP BY id, ny),
 h AS (SELECT i, sum(1.0 / greatest(i, 1)) FILTER (WHERE i > 0) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS h FROM range((SELECT count(*) FROM p)) t(i))
@@ -514,6 +647,27 @@ def mi_continuous(spark, sf_dir):
     return select.continuous_information(df, "o_orderkey", "o_totalprice", "y")
 
 
+_MIXED = {"o_orderpriority": True, "o_totalprice": False}
+
+
+def _mixed(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").withColumn("y", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0))
+    return select.mixed_information(df, "o_orderkey", _MIXED, "y")
+
+
+_MIXED_SQL = "WITH cells AS (SELECT 'o_orderpriority' AS feature, o_orderpriority AS v, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders), " + f"{_MI}, scores AS (SELECT feature, mi, true AS discrete FROM mi UNION ALL SELECT feature, mi, false FROM ({ORACLES['mi_continuous']}))"
+
+
+@query(f"{_MIXED_SQL} SELECT feature, round(mi, 6) AS mi, discrete FROM scores")
+def mi_mixed(spark, sf_dir):
+    return _mixed(spark, sf_dir)
+
+
+@query(f"{_MIXED_SQL} SELECT discrete, count(*) AS feature_n, count(*) FILTER (WHERE round(mi, 6) > 0.5) AS selected_n, count(*) FILTER (WHERE mi <= 0) AS zero_mi_n, round(max(mi), 6) AS max_mi FROM scores GROUP BY discrete")
+def mi_by_kind(spark, sf_dir):
+    return select.summary_by_kind(_mixed(spark, sf_dir).withColumn("selected", F.col("mi") > 0.5))
+
+
 @query(f"WITH {_RANKED} SELECT feature, round(mi, 6) AS mi, rank, selected FROM ranked", survey=True)
 def mi_rank_topk(spark, sf_dir):
     return _ranking(spark, sf_dir)
@@ -537,6 +691,24 @@ def _components(spark, sf_dir):
     return reduce.vector_columns(vectors, "embedding", n), reduce.fit(reduce.vector_columns(train, "embedding", n), [f"x{i}" for i in range(n)])
 
 
+@query("""WITH alloc AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY exact - base DESC, label) <= ceil(total * 0.2) - sum(base) OVER () THEN 1 ELSE 0 END AS test_n FROM (SELECT label, total, ceil(total * 0.2) * n / total AS exact, floor(ceil(total * 0.2) * n / total) AS base FROM (SELECT label, CAST(count(*) AS DOUBLE) AS n, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM embeddings WHERE label IS NOT NULL GROUP BY label))),
+t AS (SELECT vec_id, embedding FROM (SELECT e.*, test_n, row_number() OVER (PARTITION BY e.label ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings e JOIN alloc a ON e.label = a.label) WHERE r > test_n),
+x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM t)
+SELECT 'x' || a.i AS a, 'x' || b.i AS b, round(covar_samp(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) + 1e-10, 6) AS covariance FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""")
+def pca_reconstruction(spark, sf_dir):
+    """Variances and loadings together give back the covariance of the train side, which SQL can compute."""
+    return reduce.reconstruction(_components(spark, sf_dir)[1], spark)
+
+
+@query()
+def pca_checks(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    n = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    train = reduce.vector_columns(boundary.stratified_split(vectors, "vec_id", "label").where("partition = 'train'"), "embedding", n)
+    c = reduce.fit(train, [f"x{i}" for i in range(n)])
+    return reduce.component_checks(c, c.scores(train, 5), 5)
+
+
 @query()
 def pca_variance(spark, sf_dir):
     return _components(spark, sf_dir)[1].variance_table(spark)
@@ -574,17 +746,25 @@ def _resampled(spark, sf_dir):
     return resample.oversample(df, "vec_id", "embedding", "y", 1)
 
 
-@query()
+_SMOTE = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings), s AS (SELECT id, v FROM e WHERE y = 1), c AS (SELECT (SELECT count(*) FROM s) AS ns, (SELECT count(*) FROM e WHERE y = 0) - (SELECT count(*) FROM s) AS wanted),
+d AS (SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS distance FROM s a JOIN s b ON a.id <> b.id), nn AS (SELECT * FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM d) WHERE rank <= 5),
+pl AS (SELECT s.id, v, k, row_number() OVER (ORDER BY md5('42:' || s.id), s.id) AS place FROM s JOIN (SELECT id, count(*) AS k FROM nn GROUP BY id) g ON s.id = g.id),
+dr AS (SELECT id, v, k, r AS round FROM pl, c, range((SELECT CAST(ceil(wanted * 1.0 / ns) AS BIGINT) FROM c)) t(r) WHERE r < wanted // ns OR place <= wanted - (wanted // ns) * ns),
+pk AS (SELECT id, v, CAST('0x' || substr(md5('42:rank:' || id || ':' || round), 1, 12) AS BIGINT) % k + 1 AS rank, CAST('0x' || substr(md5('42:place:' || id || ':' || round), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM dr),
+made AS (SELECT row_number() OVER () AS m, pk.id, nn.other, pk.v, o.v AS w, u FROM pk JOIN nn ON pk.id = nn.id AND pk.rank = nn.rank JOIN s o ON o.id = nn.other)"""
+
+
+@query(_SMOTE + " SELECT id AS source_id, CAST(NULL AS BIGINT) AS neighbour_id, CAST(y AS BIGINT) AS target, 'original' AS sample_origin, round(list_sum(v) + 1e-10, 6) AS v_sum FROM e UNION ALL SELECT id, other, 1, 'synthetic', round(list_sum(v) + u * (list_sum(w) - list_sum(v)) + 1e-10, 6) FROM made")
 def smote_rows(spark, sf_dir):
     return _resampled(spark, sf_dir).select("source_id", "neighbour_id", "target", "sample_origin", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("v_sum"))
 
 
-@query("SELECT CAST(t AS BIGINT) AS target, count(*) FILTER (WHERE label <> 0) AS n, 50.0 AS pct FROM embeddings, (VALUES (0), (1)) x(t) GROUP BY t")
+@query(_SMOTE + ", n AS (SELECT target, count(*) AS n FROM (SELECT y AS target FROM e UNION ALL SELECT 1 FROM made) GROUP BY target) SELECT CAST(target AS BIGINT) AS target, n, round(n * 100.0 / sum(n) OVER (), 6) AS pct FROM n")
 def smote_balance(spark, sf_dir):
     return resample.class_balance(_resampled(spark, sf_dir))
 
 
-@query()
+@query(_SMOTE + ", x AS (SELECT a + u * (b - a) AS x FROM (SELECT unnest(v) AS a, unnest(w) AS b, u FROM made)) SELECT count(*) AS total_cells, count(*) FILTER (WHERE x = 0) AS exactly_0_n, count(*) FILTER (WHERE x = 1) AS exactly_1_n, count(*) FILTER (WHERE x > 0 AND x < 1) AS strictly_between_0_1_n, count(*) FILTER (WHERE x < 0 OR x > 1) AS outside_0_1_n, count(*) FILTER (WHERE x <> round(x)) AS fractional_n FROM x")
 def interpolation_diag(spark, sf_dir):
     return resample.interpolation_diagnostic(_resampled(spark, sf_dir))
 
@@ -606,6 +786,7 @@ def top_bottom_n(spark, sf_dir):
     return low.unionByName(p.orderBy(F.desc("o"), "psu").limit(3).select(F.lit("top").alias("side"), "psu", "positive_rate"))
 
 
-@query()
+@query("""WITH h AS (SELECT md5(CAST(json_object('o_custkey', o_custkey, 'o_orderkey', o_orderkey, 'o_orderpriority', o_orderpriority, 'o_orderstatus', o_orderstatus) AS VARCHAR)) AS h FROM orders)
+SELECT count(*) AS rows, sha256(count(*) || ':' || CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR)) AS digest FROM h""")
 def content_digest(spark, sf_dir):
-    return lineage.content_digest(_table(spark, sf_dir, "orders"))
+    return lineage.content_digest(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))

@@ -152,7 +152,7 @@ def test_continuous_information(spark):
     y = rng.integers(0, 2, 200)
     x = rng.normal(size=200) + y
     df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id long, x double, y int")
-    (r,) = rows(select.continuous_information(df, "id", "x", "y", jitter=0.0))
+    (r,) = rows(select.continuous_information(df, "id", "x", "y"))
     assert math.isclose(r["mi"], brute_information(x, y, 3), abs_tol=1e-9)
 
 
@@ -223,3 +223,87 @@ def test_one_to_one_join_raises(spark):
     a, b = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
     with pytest.raises(checks.CheckFailed):
         checks.join_one_to_one(a, b, "k")
+
+
+def test_quantiles_are_exact_in_few_bins(spark, monkeypatch):
+    from ashlar.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    monkeypatch.setattr(quantiles, "BINS", 4)
+    far = [1e300 if i < 3 else -1.7e308 if i < 5 else float(i % 7) for i in range(101)]
+    df = spark.createDataFrame([(float(i), far[i], None) for i in range(101)] + [(float("nan"), None, None)], "a double, b double, c double")
+    ps = [0, 0.1, 0.25, 0.5, 0.75, 0.97, 1]
+    out = quantiles.exact_quantiles(df, ["a", "b", "c"], ps)
+    assert np.allclose(out["a"], np.quantile(np.arange(101.0), ps)) and out["c"] == [None] * len(ps)
+    assert out["b"][1:6] == np.quantile(far, ps)[1:6].tolist() and (out["b"][0], out["b"][-1]) == (-1.7e308, 1e300)
+    assert quantiles.distinct_values(df, ["a", "b", "c"]) == {"a": 101, "b": 9, "c": 0}
+
+
+def test_continuous_information_does_not_depend_on_the_keys(spark):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 400)
+    x = np.round(rng.standard_normal(400) + y, 1)  # many ties
+    found = []
+    for factor in (1, 10**6, 10**8):
+        df = spark.createDataFrame([(int(i) * factor, float(a), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id long, x double, y int")
+        found.append(select.continuous_information(df, "id", "x", "y", rows_a_range=60).first()["mi"])
+    assert max(found) - min(found) < 0.05 and min(found) > 0.02
+    none = spark.createDataFrame([], "id long, x double, y int")
+    assert select.continuous_information(none, "id", "x", "y").first()["mi"] == 0.0
+
+
+def test_ranges_change_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(v), "a" if i % 3 else "b") for i, v in enumerate(rng.exponential(5, 500))]
+    df = spark.createDataFrame(rows, "id long, x double, y string")
+    one, many = (select.continuous_information(df, "id", "x", "y", rows_a_range=r).first()["mi"] for r in (10_000, 20))
+    assert math.isclose(one, many, abs_tol=1e-9)
+
+
+def test_oversampling_counts_usable_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.random(2).tolist() if i else None, 1) for i in range(5)] + [(10 + i, rng.random(2).tolist(), 0) for i in range(18)]
+    out = resample.oversample(spark.createDataFrame(rows, "k long, v array<double>, y int"), "k", "v", "y", 1)
+    assert {r["target"]: r["count"] for r in out.groupBy("target").count().collect()} == {0: 18, 1: 18}
+
+
+def test_unequal_masks_give_no_joint_indicator(spark):
+    from ashlar.operators import stages
+
+    df = spark.createDataFrame([(1.0, None), (None, None)], "a double, b double")
+    with pytest.raises(ValueError, match="different null masks in 1"):
+        stages.joint_indicator(df, ["a", "b"], "m")
+
+
+def test_a_vocabulary_too_large_for_a_plan_is_refused(spark, monkeypatch):
+    from ashlar.operators import stages
+
+    monkeypatch.setattr(stages, "MOST_CATEGORIES", 3)
+    df = spark.range(5).select(F.col("id").cast("string").alias("c"), F.lit("train").alias("partition"))
+    with pytest.raises(ValueError, match="more than 3"):
+        stages.encode_onehot(df, stages.vocabulary(df, ["c"]))
+
+
+def test_files_and_contracts(spark, tmp_path):
+    text = lineage.write_manifest(spark, {"name": "é"}, f"file://{tmp_path}/m.json")
+    assert (tmp_path / "m.json").read_text(encoding="utf-8") == text and files.read_json(spark, f"file://{tmp_path}/m.json") == {"name": "é"}
+    lineage.pass_through(spark, f"file://{tmp_path}/m.json", f"file://{tmp_path}/copy.json").require()
+    assert (tmp_path / "copy.json").read_bytes() == (tmp_path / "m.json").read_bytes()
+    df = spark.range(3)
+    m = lineage.stage_manifest("b", {"t": df}, {"scaled": False}, rows_dropped=True)
+    assert m["operation_flags"] == {"scaled": False} and m["contract"]["rows_dropped"] and m["contract"]["fit_partition"] == "train"
+    with pytest.raises(ValueError):
+        lineage.stage_manifest("b", {}, {"scaled": 1})
+    with pytest.raises(ValueError):
+        lineage.stage_manifest("b", {}, {}, unheard_of=1)
+
+
+def test_tables_side_by_side(spark):
+    a, b = spark.createDataFrame([(1, 2), (2, 3)], "k int, x int"), spark.createDataFrame([(2, 5), (1, 4)], "k int, y int")
+    assert rows(checks.side_by_side("k", a, b), "k") == [{"k": 1, "x": 2, "y": 4}, {"k": 2, "x": 3, "y": 5}]
+    with pytest.raises(checks.CheckFailed):
+        checks.side_by_side("k", a, b.where("k = 1"))
+    assert rows(checks.join_counts(a, b.where("k = 1"), "k"), "k")[1] == {"k": 2, "x": 3, "y": 0}
+    bad = spark.createDataFrame([(1, 1, "train", 0), (1, 0, "side", 2)], "record int, target int, partition string, position int")
+    assert [n for n, ok, _ in checks.valid_assignment(bad).rows if not ok] == ["unique_key", "contiguous_position", "known_sides"]
+    assert catalog.unique_names(["b", "a", "b"]) == ["b", "a"]
