@@ -142,7 +142,7 @@ def brute_information(x, y, k):
         own = sorted(abs(x[j] - x[i]) for j in range(total) if j != i and y[j] == y[i])
         kk = min(k, len(own))
         r = own[kk - 1]
-        m = sum(x[i] - r < x[j] < x[i] + r for j in range(total))
+        m = sum(abs(x[j] - x[i]) < r for j in range(total))  # as the radius was computed, so the k-th neighbour lies outside
         hm, hy, hk = hm + h(m - 1), hy + h(len(own)), hk + h(kk - 1)
     return max(0.0, h(total - 1) + (hk - hm - hy) / total)
 
