@@ -11,7 +11,7 @@ Candidates come from bands of the sketch; every link is then confirmed on the
 full shingle sets, so no false link survives.  A pair at the threshold 0.8
 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 
-Plan (nothing grows with the square of a group):
+Plan (only step 4 looks at pairs, of buckets the stars leave mixed):
 
 1. one pass over the texts: set size, a 128-bit set digest, 32 band keys;
 2. equal sets collapse to their least doc_id, by a partial aggregate;
