@@ -11,16 +11,23 @@ Candidates come from bands of the sketch; every link is then confirmed on the
 full shingle sets, so no false link survives.  A pair at the threshold 0.8
 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 
-Plan (only step 4 looks at pairs, of buckets the stars leave mixed):
+Plan (only steps 4 and 5 look at pairs, of groups that hold several components):
 
 1. one pass over the texts: set size, a 128-bit set digest, 32 band keys;
 2. equal sets collapse to their least doc_id, by a partial aggregate;
 3. in each band bucket every member is paired with the bucket's least member
    only, and the pairs are verified on their sets and contracted;
 4. buckets whose members still lie in different components are cut into blocks
-   of ``BLOCK_DOCS`` documents; each pair of blocks is compared by matrix
-   products of its incidence matrix.  Links within a component are skipped:
-   they can't change it.
+   of about ``BLOCK_DOCS`` documents or ``BLOCK_SHINGLES`` shingles.  Documents
+   outside the bucket's largest component meet all others, block by block, by
+   matrix products of incidence matrices.  Links within a component are
+   skipped: they can't change it;
+5. mixed buckets of more than ``MANY`` documents first go through an exact
+   prefix filter: shingles are ordered by the documents that hold them, and
+   two sets that are similar enough share one of their rarest
+   ``n - ceil(share * n) + 1`` shingles.  The documents of one such shingle take
+   the bucket's place in step 4, so documents that only share common text
+   never meet.
 """
 
 from __future__ import annotations
@@ -39,9 +46,12 @@ from .components import connected_components
 from .kernels import SPACES, U, grams, mix, strings, words_of_rows
 
 BANDS, ROWS = 32, 4
-BLOCK_DOCS = 256
+#: documents and shingles of a block, on average
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 20
 #: documents of a bucket whose pairs are verified one by one
 FEW = 12
+#: documents of a bucket beyond which only those that share a rare shingle meet
+MANY = 1024
 #: of 2T rounds for T up to 256
 _ROUND = mix(np.arange(1, 513, dtype=U) * U(0xA24BAED4963EE407))
 
@@ -182,6 +192,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int, *more: str) -> Data
     return pairs.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * share).select("a", "b", *more)
 
 
+def _mixed(named: DataFrame) -> DataFrame:
+    """(bucket, n) of the buckets that hold several components, one of those with the same members."""
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("lo < hi")
+    return scratch.save(mixed.groupBy("who", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "mixed")
+
+
+def _links(named: DataFrame, mixed: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between the components that meet in a mixed bucket; ``named`` holds (bucket, doc_id, component, n_shingles)."""
+
+    def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _block_links(pdf, share)
+
+    # a small bucket has at most FEW * (FEW - 1) / 2 pairs, which need no block
+    few = named.join(mixed.where(F.col("n") <= FEW).select("bucket"), "bucket")
+    near = few.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca")).join(few.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb")), "bucket")
+    near = near.where("ca < cb").select("a", "b", "ca", "cb").distinct()
+    near = _verified(near, sets, share, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+    def blocks(docs: F.Column, shingles: F.Column) -> F.Column:
+        return F.ceil(F.greatest(docs / BLOCK_DOCS, shingles / BLOCK_SHINGLES)).cast("int")
+
+    parts = hot.join(named, mixed.where(F.col("n") > FEW), ["bucket"], "n").groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("m", "component", "w")).alias("main"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+    main = main.select("bucket", "m", F.col("main.component").alias("main"), blocks(F.col("main.m"), F.col("main.w")).alias("others"), blocks(F.col("m") - F.col("main.m"), F.col("w") - F.col("main.w")).alias("rest"))
+    # blocks 0 to rest - 1 meet all blocks, the largest component's blocks behind them don't meet each other
+    cells = hot.join(named, scratch.save(main, "blocks"), ["bucket"], "m").withColumn("is_main", F.col("component") == F.col("main"))
+    place = F.xxhash64("doc_id", "bucket")
+    cells = cells.withColumn("own", F.when(F.col("is_main"), F.col("rest") + F.pmod(place, F.col("others"))).otherwise(F.pmod(place, F.col("rest"))).cast("int"))
+    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("rest")).otherwise(F.col("rest") + F.col("others")) - 1)))
+    cells = cells.select("bucket", "doc_id", "component", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), (F.col("own") > F.col("o")).cast("int").alias("side"))
+    one = sets.where(F.size("s") > 0)
+    return cells.join(one, "doc_id").groupBy("bucket", "x", "y").applyInPandas(block_links, "a long, b long").unionByName(near).distinct()
+
+
+def _by_rare_shingles(named: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(bucket, doc_id, component, n_shingles): the documents of ``named`` anew, in a bucket for each of their rarest shingles.
+
+    Any two sets of ``named`` with ``100 * |A & B| >= share * |A | B|`` share a
+    bucket: B holds ``share`` of A at least, and A of B, so in one order of all
+    shingles the first common one is among the rarest ``n - ceil(share * n) + 1``
+    of both.  Shingles of one document take their places but make no bucket.
+    """
+    docs = named.select("doc_id", "component").distinct().join(sets.where(F.size("s") > 0), "doc_id")
+    docs = docs.select("doc_id", "component", F.xxhash64("s").alias("text"), F.size("s").cast("long").alias("n_shingles"), "s").distinct()
+    each = docs.select("doc_id", "component", "text", "n_shingles", F.explode("s").alias("bucket"))
+    held = scratch.save(each.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").withColumn("rows", F.col("held")), "held")
+    shared = hot.join(each, held, ["bucket"], "rows")
+    shared = shared.groupBy("doc_id", "component", "text", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("held", "bucket"))).alias("s"))
+    n = F.col("n_shingles")
+    least = F.floor((n * share + 99) / 100)
+    first = (n - least + 1) - (n - F.size("s"))
+    shared = shared.withColumn("first", first.cast("int")).where("first > 0")
+    return shared.select("doc_id", "component", "n_shingles", F.explode(F.slice("s", F.lit(1), F.col("first"))).alias("g")).select(F.col("g.bucket").alias("bucket"), "doc_id", "component", "n_shingles").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, bands: int = BANDS, rows_a_band: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -196,9 +261,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored, so their names can't clash.
     """
 
-    def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _block_links(pdf, share)
-
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = scratch.save(docs.mapInArrow(partial(_features, k=k, bands_n=bands, rows_n=rows_a_band), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
     full = rows.where("doc_id is not null and n_shingles > 0")
@@ -206,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = scratch.save(least, "distinct")
     # one row for each distinct set, under its least id
     reps = full.select("doc_id", "d1", "d2", "n_shingles", "bands").join(least.drop("rows"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi")
-    members = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    members = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     least_of = members.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("bucket", "center")
     members = scratch.save(members.join(least_of, "bucket"), "buckets")
 
@@ -217,20 +279,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(stars, sets, share)
     first = scratch.save(connected_components(links, "a", "b"), "components")
 
-    named = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
     named = scratch.save(named.distinct(), "named")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("lo < hi")
-    mixed = scratch.save(mixed.groupBy("who", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("blocks")), "mixed")
-    # a small bucket has at most FEW * (FEW - 1) / 2 pairs, which need no block
-    few = named.join(mixed.where(F.col("n") <= FEW).select("bucket"), "bucket")
-    near = few.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca")).join(few.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb")), "bucket")
-    near = near.where("ca < cb").select("a", "b", "ca", "cb").distinct()
-    near = _verified(near, sets, share, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    cells = named.join(mixed.where(F.col("n") > FEW), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = cells.withColumn("o", other).select("bucket", "doc_id", "component", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), (F.col("own") > F.col("o")).cast("int").alias("side"))
-    one = sets.where(F.size("s") > 0)
-    across = cells.join(one, "doc_id").groupBy("bucket", "x", "y").applyInPandas(block_links, "a long, b long").unionByName(near).distinct()
+    mixed = _mixed(named)
+    across = _links(named, mixed.where(F.col("n") <= MANY), sets, share)
+    large = mixed.where(F.col("n") > MANY)
+    if not large.isEmpty():
+        rare = scratch.save(_by_rare_shingles(hot.join(named, large, ["bucket"], "n"), sets, share), "rare")
+        across = across.unionByName(_links(rare, _mixed(rare), sets, share)).distinct()
     second = connected_components(across, "a", "b")
     final = first.select("node", "component").join(second.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
     final = final.select("node", F.coalesce("least", "component").alias("component")).unionAll(second.join(first.select("node"), "node", "left_anti").select("node", "component"))

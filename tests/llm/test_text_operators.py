@@ -70,16 +70,39 @@ def test_near_duplicates(spark, docs, k):
     assert all(r["kept"] == (r["component_id"] == i) and r["n_shingles"] == len(brute.shingles(docs[i], k)) for i, r in out.items())
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
-    """A chain of texts, each near only to its neighbours, in blocks of two."""
+@pytest.mark.parametrize("many, shingles", [(1024, 1 << 20), (4, 1 << 20), (4, 70)])
+def test_near_duplicates_in_blocks(spark, monkeypatch, many, shingles):
+    """A chain of texts, each near only to its neighbours, in blocks of two or of one long text; large buckets by rare shingles."""
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(minhash, "FEW", 3)
+    monkeypatch.setattr(minhash, "MANY", many)
     words = [f"w{i}" for i in range(160)]
     docs = {i: " ".join(words[4 * i : 4 * i + 60]) for i in range(20)}
     out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, docs), k=4, share=80).collect()}
     assert out == brute.near_duplicates(docs, 4, 80)
 
 
+def test_rare_shingles_join_all_similar_sets(spark):
+    """Every pair at the threshold shares a bucket; texts that share only a common part don't."""
+    rng = np.random.default_rng(5)
+    common = set(range(1000, 1060))
+    sets = [common | set(rng.integers(0, 500, int(rng.integers(5, 45))).tolist()) for _ in range(60)]
+    sets += [set(s) - {min(s)} | {2000 + i} for i, s in enumerate(sets[:30])] + [common, set(common), {1}, {1}, {2, 3}]
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)] + [(0, sorted(sets[0])), (0, [7, 8]), (3, [])], "doc_id long, s array<long>")
+    named = spark.createDataFrame([(b, i, i, len(s)) for i, s in enumerate(sets) for b in (1, 2)], "bucket long, doc_id long, component long, n_shingles long")
+    bins = {}
+    for r in minhash._by_rare_shingles(named, held, 80).collect():
+        bins.setdefault(r["bucket"], set()).add(r["doc_id"])
+    met = {(i, j) for m in bins.values() for i in m for j in m if i < j}
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near <= met and len(near) >= 30
+    apart = [[*range(100), *range(1000 * i, 1000 * i + 30)] for i in range(1, 9)]
+    held = spark.createDataFrame(list(enumerate(apart)), "doc_id long, s array<long>")
+    named = spark.createDataFrame([(1, i, i, 130) for i in range(8)], "bucket long, doc_id long, component long, n_shingles long")
+    assert minhash._by_rare_shingles(named, held, 80).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "same text here now"), (3, "same text here now"), (3, "same text here now"), (2, "same text here now"), (7, None)]
     out = sorted(((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
