@@ -22,8 +22,8 @@ Plan (only steps 4 and 5 look at pairs, of groups that hold several components):
    outside the bucket's largest component meet all others, block by block, by
    matrix products of incidence matrices.  Links within a component are
    skipped: they can't change it;
-5. mixed buckets of more than ``MANY`` documents first go through an exact
-   prefix filter: shingles are ordered by the documents that hold them, and
+5. buckets with more than ``MANY`` documents outside their largest component
+   first go through an exact prefix filter: shingles are ordered by the documents that hold them, and
    two sets that are similar enough share one of their rarest
    ``n - ceil(share * n) + 1`` shingles.  The documents of one such shingle take
    the bucket's place in step 4, so documents that only share common text
@@ -50,7 +50,7 @@ BANDS, ROWS = 32, 4
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 20
 #: documents of a bucket whose pairs are verified one by one
 FEW = 12
-#: documents of a bucket beyond which only those that share a rare shingle meet
+#: documents outside a bucket's largest component beyond which only those that share a rare shingle meet
 MANY = 1024
 #: of 2T rounds for T up to 256
 _ROUND = mix(np.arange(1, 513, dtype=U) * U(0xA24BAED4963EE407))
@@ -193,9 +193,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int, *more: str) -> Data
 
 
 def _mixed(named: DataFrame) -> DataFrame:
-    """(bucket, n) of the buckets that hold several components, one of those with the same members."""
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("lo < hi")
-    return scratch.save(mixed.groupBy("who", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "mixed")
+    """The buckets that hold several components, one of those with the same members.
+
+    (bucket, n, main, others, rest, left): n documents, of which left lie
+    outside the largest component main; others and rest are the numbers of
+    blocks of main and of those left.
+    """
+
+    def blocks(docs: F.Column, shingles: F.Column) -> F.Column:
+        return F.ceil(F.greatest(docs / BLOCK_DOCS, shingles / BLOCK_SHINGLES)).cast("int")
+
+    who = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
+    parts = named.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"), who.alias("who"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("m", "component", "w")).alias("main"), F.sum("m").alias("n"), F.sum("w").alias("w"), F.sum("who").alias("who"))
+    left = F.col("n") - F.col("main.m")
+    mixed = mixed.where(left > 0).select("who", "n", "bucket", F.col("main.component").alias("main"), blocks(F.col("main.m"), F.col("main.w")).alias("others"), blocks(left, F.col("w") - F.col("main.w")).alias("rest"), left.alias("left"))
+    mixed = mixed.groupBy("who", "n").agg(F.min(F.struct("bucket", "main", "others", "rest", "left")).alias("of"))
+    return scratch.save(mixed.select("n", "of.*"), "mixed")
 
 
 def _links(named: DataFrame, mixed: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -210,14 +224,8 @@ def _links(named: DataFrame, mixed: DataFrame, sets: DataFrame, share: int) -> D
     near = near.where("ca < cb").select("a", "b", "ca", "cb").distinct()
     near = _verified(near, sets, share, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
-    def blocks(docs: F.Column, shingles: F.Column) -> F.Column:
-        return F.ceil(F.greatest(docs / BLOCK_DOCS, shingles / BLOCK_SHINGLES)).cast("int")
-
-    parts = hot.join(named, mixed.where(F.col("n") > FEW), ["bucket"], "n").groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("m", "component", "w")).alias("main"), F.sum("m").alias("m"), F.sum("w").alias("w"))
-    main = main.select("bucket", "m", F.col("main.component").alias("main"), blocks(F.col("main.m"), F.col("main.w")).alias("others"), blocks(F.col("m") - F.col("main.m"), F.col("w") - F.col("main.w")).alias("rest"))
     # blocks 0 to rest - 1 meet all blocks, the largest component's blocks behind them don't meet each other
-    cells = hot.join(named, scratch.save(main, "blocks"), ["bucket"], "m").withColumn("is_main", F.col("component") == F.col("main"))
+    cells = hot.join(named, mixed.where(F.col("n") > FEW).withColumn("rows", F.col("n")), ["bucket"], "rows").withColumn("is_main", F.col("component") == F.col("main"))
     place = F.xxhash64("doc_id", "bucket")
     cells = cells.withColumn("own", F.when(F.col("is_main"), F.col("rest") + F.pmod(place, F.col("others"))).otherwise(F.pmod(place, F.col("rest"))).cast("int"))
     cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("rest")).otherwise(F.col("rest") + F.col("others")) - 1)))
@@ -226,25 +234,41 @@ def _links(named: DataFrame, mixed: DataFrame, sets: DataFrame, share: int) -> D
     return cells.join(one, "doc_id").groupBy("bucket", "x", "y").applyInPandas(block_links, "a long, b long").unionByName(near).distinct()
 
 
+def _rarest(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
+    """A row for each of a set's first ``n - ceil(share * n) + 1`` shingles: by hash, the ``frequent`` ones last and in their order."""
+    by_value = np.argsort(frequent)
+    known = frequent[by_value]
+    for b in batches:
+        sizes = b.column(2).value_lengths().to_numpy()
+        values = b.column(2).flatten().to_numpy()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        rank = np.full(len(values), -1)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            rank = np.where(known[at] == values, by_value[at], -1)
+        order = np.lexsort((values, rank, owner))
+        nth = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        taken = order[nth < (sizes - (sizes * share + 99) // 100 + 1)[owner]]
+        row = pa.array(owner[taken])
+        yield pa.RecordBatch.from_arrays([pa.array(values[taken]), b.column(0).take(row), b.column(1).take(row), pa.array(sizes[owner[taken]].astype(np.int64))], ["bucket", "doc_id", "component", "n_shingles"])
+
+
 def _by_rare_shingles(named: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """(bucket, doc_id, component, n_shingles): the documents of ``named`` anew, in a bucket for each of their rarest shingles.
 
     Any two sets of ``named`` with ``100 * |A & B| >= share * |A | B|`` share a
-    bucket: B holds ``share`` of A at least, and A of B, so in one order of all
-    shingles the first common one is among the rarest ``n - ceil(share * n) + 1``
-    of both.  Shingles of one document take their places but make no bucket.
+    bucket: B holds ``share`` of A at least, and A of B, so in any one order of
+    all shingles the first common one is among the first
+    ``n - ceil(share * n) + 1`` of both.  The order is by hash, but shingles
+    with a ``hot.MOST``-th of all occurrences come last, so they only make
+    buckets of sets that consist of such shingles nearly alone.
     """
-    docs = named.select("doc_id", "component").distinct().join(sets.where(F.size("s") > 0), "doc_id")
-    docs = docs.select("doc_id", "component", F.xxhash64("s").alias("text"), F.size("s").cast("long").alias("n_shingles"), "s").distinct()
-    each = docs.select("doc_id", "component", "text", "n_shingles", F.explode("s").alias("bucket"))
-    held = scratch.save(each.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").withColumn("rows", F.col("held")), "held")
-    shared = hot.join(each, held, ["bucket"], "rows")
-    shared = shared.groupBy("doc_id", "component", "text", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("held", "bucket"))).alias("s"))
-    n = F.col("n_shingles")
-    least = F.floor((n * share + 99) / 100)
-    first = (n - least + 1) - (n - F.size("s"))
-    shared = shared.withColumn("first", first.cast("int")).where("first > 0")
-    return shared.select("doc_id", "component", "n_shingles", F.explode(F.slice("s", F.lit(1), F.col("first"))).alias("g")).select(F.col("g.bucket").alias("bucket"), "doc_id", "component", "n_shingles").distinct()
+    docs = scratch.save(named.select("doc_id", "component").distinct().join(sets.where(F.size("s") > 0), "doc_id").select("doc_id", "component", "s"), "large")
+    total = docs.agg(F.sum(F.size("s"))).first()[0] or 0
+    held = docs.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("held"))
+    # at most MOST of them
+    frequent = held.where(F.col("held") >= max(hot.LEAST, -(-total // hot.MOST))).orderBy("held", "g").select("g").toPandas()["g"].to_numpy(np.int64)
+    return docs.mapInArrow(partial(_rarest, frequent=frequent, share=share), "bucket long, doc_id long, component long, n_shingles long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, bands: int = BANDS, rows_a_band: int = ROWS) -> DataFrame:
@@ -282,8 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
     named = scratch.save(named.distinct(), "named")
     mixed = _mixed(named)
-    across = _links(named, mixed.where(F.col("n") <= MANY), sets, share)
-    large = mixed.where(F.col("n") > MANY)
+    across = _links(named, mixed.where(F.col("left") <= MANY), sets, share)
+    large = mixed.where(F.col("left") > MANY).select("bucket", "n")
     if not large.isEmpty():
         rare = scratch.save(_by_rare_shingles(hot.join(named, large, ["bucket"], "n"), sets, share), "rare")
         across = across.unionByName(_links(rare, _mixed(rare), sets, share)).distinct()
