@@ -167,6 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                         counts.append(len(w))
                         hits.append(int(hit.sum()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns - 4)), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=schema.fieldNames())
+            scratch.trim()
 
         state = state.mapInArrow(match, schema)
         if k + 1 < blocks:

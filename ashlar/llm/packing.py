@@ -61,6 +61,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, length: int = 2048,
                 starts = local + np.cumsum(sizes) - sizes
                 local += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, part, np.int32)), pa.array(starts), b.column(0).slice(i, j - i), pa.array(sizes), pa.array(ids, pa.binary())], ["part", "local", "doc_id", "n", "ids"])
+        scratch.trim()
 
     coded = scratch.save(rows.mapInArrow(encode, f"part int, local long, doc_id {id_type}, n long, ids binary"), "ids")
     totals = sorted(coded.groupBy("part").agg(F.sum("n")).collect())
@@ -79,6 +80,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, length: int = 2048,
             whole = [np.frombuffer(x.as_buffer(), kind) for x in b.column(3)]
             ids = [whole[d][s:e].astype("<u4").tobytes() for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(doc)), pa.array(start), pa.array(end - start), pa.array(ids, pa.binary()), pa.array(n[doc]), pa.array(sequence), pa.array(at[doc] + start - sequence * length)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        scratch.trim()
 
     placed = coded.join(F.broadcast(bases), "part").select((F.col("base") + F.col("local")).alias("at"), "doc_id", "n", "ids")
     return placed.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

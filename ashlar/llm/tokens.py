@@ -5,7 +5,10 @@ piece runs past a space that stands between two other characters, so a text's
 ids are the concatenation of the ids of its units: the first word, then each
 following word together with the space before it (byte-level BPE), or each
 word alone (word BPE).  Natural text repeats its units, so most are looked up
-instead of merged again.  Texts that hold the string of an added token, and
+instead of merged again.  In texts of ``_KNOWN`` characters, on which Python
+and the library agree what is a letter, a digit or white space, the units are
+the splitter's own pieces, which repeat more often still and need the merges
+alone.  Texts that hold the string of an added token, and
 all texts under files of any other form, are encoded whole by the library.
 The memory of a worker process is bounded: two generations of ``REMEMBERED``
 units.
@@ -18,13 +21,23 @@ import os
 import re
 from array import array
 
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _WIDE = re.compile(r" \s")
-_BARE = re.compile(r" ?[A-Za-z]+")
-_LINES = re.compile(r"( ?[^\W\d_]+)([.,;:!?]*)(?:(\n)([^\W\d_]+)?([.,;:!?]*))?")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 LONG_UNIT = 256
 
+#: composed Latin letters whose lower case is one letter too
+_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_KNOWN = re.compile(rf"[\t\n\r -~¡¿«»§°{_LATIN}–—‘’“”…€]*")
+_BARE = re.compile(r" ?[A-Za-z]+")
+_SHORT = "'(?:[stmd]|re|ve|ll)"
+#: the splitters of the two forms for such characters
+_BYTE_PIECES = re.compile(rf" ?[{_LATIN}]+|{_SHORT}| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+")
+_WORD_PIECES = re.compile(rf"[{_LATIN}]+|{_SHORT}|[0-9]|[^\s0-9{_LATIN}]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: bytes as the characters that stand for them in byte-level vocabularies
+_AS_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
 
 #: (normaliser, splitter) under which a text falls apart at its lone spaces, without and with the space
 _BYTES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
@@ -34,6 +47,26 @@ _WORDS = (
 )
 
 
+class Memory(dict):
+    """Ids by unit; what is missing is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = self.encode(unit)
+        if len(unit) <= LONG_UNIT:
+            self[unit] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
 class UnitTokenizer:
     """``encode_batch(texts)``: little-endian unsigned 32-bit ids as bytes, as by ``encode(text, add_special_tokens=False)``."""
 
@@ -48,9 +81,10 @@ class UnitTokenizer:
         plain = all(not (x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"]) for x in added) and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
         self.by_units = plain and form in (_BYTES, _WORDS)
         self.spaced = form == _BYTES
+        self.pieces = (_BYTE_PIECES if self.spaced else _WORD_PIECES).findall
         self.added = [x["content"] for x in added]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.memory = Memory(self._ids)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         whole = [k for k, t in enumerate(texts) if not self.by_units or any(x in t for x in self.added)]
@@ -65,6 +99,8 @@ class UnitTokenizer:
         return out
 
     def units(self, text: str) -> list[str]:
+        if _KNOWN.fullmatch(text):
+            return self.pieces(text if self.spaced else text.lower())
         if not self.spaced:
             return text.split(" ")
         if _WIDE.search(text):  # a run of white space is a piece of its own: cut only at lone spaces
@@ -76,73 +112,21 @@ class UnitTokenizer:
         return text.replace(" ", "\0 ").split("\0")
 
     def _by_units(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, get = self.young, self.young.get
-        out: list[bytes] = []
-        waiting, missing = [], set()
-        for k, t in enumerate(texts):
-            units = self.units(t)
-            found = list(map(get, units))
-            try:
-                out.append(b"".join(found))
-            except TypeError:  # some are None
-                gaps = [i for i, x in enumerate(found) if x is None]
-                missing.update([units[i] for i in gaps])
-                out.append(b"")
-                waiting.append((k, units, found, gaps))
-        if waiting:
-            own = {}
-            for u in missing:
-                if (x := self.old.get(u)) is not None:
-                    own[u] = x
-            own.update(self._merged(missing - own.keys()))
-            for k, units, found, gaps in waiting:
-                for i in gaps:
-                    found[i] = own[units[i]]
-                out[k] = b"".join(found)
-            young.update(own)
-            for u in missing:
-                if len(u) > LONG_UNIT:
-                    del young[u]
-        return out
-
-    def _merged(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of units that are not remembered.
-
-        A unit ends in a letter or falls apart there: closing marks after a
-        letter are a piece of their own, and so is a lone line break.  Bare
-        ASCII words need no normaliser or splitter, only the merges.
-        """
-        own: dict[str, bytes] = {}
-        parts: dict[str, list[str]] = {}
-        wanted: set[str] = set()
-        for u in missing:
-            if _BARE.fullmatch(u):
-                wanted.add(u)
-                continue
-            if (m := _LINES.fullmatch(u)) and "\u0130" not in u:  # whose lower case ends in a mark
-                parts[u] = [x for x in m.groups() if x]
-                wanted.update(parts[u])
-            else:
-                wanted.add(u)
-        known = {u: x for u in wanted if (x := self.young.get(u) or self.old.get(u)) is not None}
-        rest = []
-        tokenize, word_start = self.tokenizer.model.tokenize, "\u0120" if self.spaced else ""
-        for u in wanted - known.keys():
-            if _BARE.fullmatch(u):
-                core = word_start + u[1:] if u[0] == " " else u
-                own[u] = array("I", [t.id for t in tokenize(core if self.spaced else core.lower())]).tobytes()
-            else:
-                rest.append(u)
-        for k in range(0, len(rest), 1000):
-            part = rest[k : k + 1000]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                own[u] = array("I", e.ids).tobytes()
-        for u, cut in parts.items():
-            own[u] = b"".join(own[x] if x in own else known[x] for x in cut)
-        own.update(known)
-        return own
+        self.memory.age()
+        get = self.memory.__getitem__
+        return [b"".join(map(get, self.units(t))) for t in texts]
+
+    def _ids(self, unit: str) -> bytes:
+        """Ids of a unit; one of known characters falls into pieces, which need no normaliser or splitter, only the merges."""
+        if not _KNOWN.fullmatch(unit):
+            return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        if not self.spaced:
+            unit = unit.lower()
+        if _BARE.fullmatch(unit):
+            pieces = [unit.replace(" ", "\u0120")]
+        else:
+            pieces = [p.encode().decode("latin-1").translate(_AS_CHARS) for p in self.pieces(unit)]
+        return array("I", [t.id for p in pieces for t in self.tokenize(p)]).tobytes()
 
 
 _loaded: dict[str, UnitTokenizer] = {}

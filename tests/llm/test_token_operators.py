@@ -46,6 +46,27 @@ def test_a_file_of_another_form_is_encoded_by_the_library(tmp_path):
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(texts)] == [whole(t) for t in texts]
 
 
+@pytest.mark.parametrize("file", [BYTE, WORD])
+def test_known_characters_give_the_ids_of_the_library(file):
+    known = [c for c in map(chr, range(1 << 16)) if tokens._KNOWN.fullmatch(c)]
+    own, whole = tokens.UnitTokenizer(file), library(file)
+    texts = [x for c in known for x in (c, f"a{c}b", f"a {c} {c}{c}b", f"1{c}\n{c}1", f".{c}'s  {c}'Ll\n\n {c}")]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice(known) for _ in range(rng.randint(1, 15))) for _ in range(5000)]
+    assert len(known) > 300 and len(own.units(texts[0])) <= 1
+    for t, got in zip(texts, own.encode_batch(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == whole(t), repr(t)
+
+
+@pytest.mark.parametrize("file", [BYTE, WORD])
+def test_a_word_is_remembered_once_whatever_marks_follow(file):
+    own = tokens.UnitTokenizer(file)
+    marks = ["", ".", ",", ";", "!!", "%%%", "***", ".\nAnd", ":\n"]
+    own.encode_batch([" ".join(f"x{a}{b}{m}" for a in "abcdefgh" for b in "ijklmnop" for m in marks)])
+    remembered = sum(len(x) for x in vars(own).values() if isinstance(x, dict))
+    assert remembered <= 80  # 64 words and some marks; 576 units of words with their marks
+
+
 def test_forgetting(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     monkeypatch.setattr(tokens, "LONG_UNIT", 6)
