@@ -25,6 +25,7 @@ from .kernels import U, strings
 CHUNK = 2 << 20
 #: hashes of a bucket, about
 BUCKET = 400_000
+SEEN = 1 << 22
 SCHEMA = "chunk long, docs array<long>, sizes array<long>, at array<long>, pieces array<long>, digests array<binary>, bytes long, data binary"
 
 
@@ -163,10 +164,16 @@ def is_repeated(h: np.ndarray, again: list[dict] | None, buckets: int | None) ->
     many = np.concatenate([np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=len(x["low"]) // 4) for x in again]).astype(bool)
     order = np.argsort(known)
     known, many = known[order], many[order]
-    key = (h & U(0xFFFFFFFF)) | (bucket_of(h, buckets).astype(U) << U(32))
+    # most hashes stand alone, and most of these are told by their last bits
+    seen = np.zeros(SEEN, bool)
+    seen[(known & U(SEEN - 1)).astype(np.int64)] = True
+    at = np.flatnonzero(seen[(h & U(SEEN - 1)).astype(np.int64)])
+    key = (h[at] & U(0xFFFFFFFF)) | (bucket_of(h[at], buckets).astype(U) << U(32))
     k = np.minimum(np.searchsorted(known, key), len(known) - 1)
-    own = known[k] == key
-    return own, own & many[k]
+    own, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    own[at] = known[k] == key
+    hot[at] = own[at] & many[k]
+    return own, hot
 
 
 def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
@@ -176,10 +183,10 @@ def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
 
 
 def distinct(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, and whether they have two owners at least (owners ascending within the input)."""
+    """Distinct hashes, and whether they have two owners at least."""
     if not len(h):
         return h, np.zeros(0, bool)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, owner = h[order], owner[order]
     cuts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     lo, hi = np.minimum.reduceat(owner, cuts), np.maximum.reduceat(owner, cuts)

@@ -116,10 +116,12 @@ def word_runs(row: dict) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
 
 
 def runs(row: dict) -> np.ndarray:
-    """All runs of LEAST words of a chunk, by document, text and position."""
+    """The runs of LEAST words of a chunk that occur elsewhere too, by document, text and position."""
     out, docs = [np.zeros(0, PLACE)], np.array(row["docs"], np.int64)
-    for w, _, _ in word_runs(row):
-        h, at = w.grams(LEAST)
+    told = [(w, *w.grams(LEAST)) for w, _, _ in word_runs(row)]
+    again = is_repeated(np.concatenate([np.zeros(0, U), *(h for _, h, _ in told)]), row["again"], row["buckets"])[0]
+    for (w, h, at), mine in zip(told, np.split(again, np.cumsum([len(h) for _, h, _ in told])), strict=False):
+        h, at = h[mine], at[mine]
         own = np.empty(len(h), PLACE)
         first = np.searchsorted(w.text, w.text[at])
         own["h"], own["doc"], own["word"], own["start"], own["size"] = h, docs[w.text[at]], at - first, w.start[at], w.end[at + LEAST - 1] - w.start[at]
@@ -223,13 +225,12 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _dealt(row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of a chunk, first places, each run's first place, which of these are repeated, in order of bucket and position, and their buckets."""
+    """Repeated runs of a chunk, first places, each run's first place, these in order of bucket and position, and their buckets."""
     every = runs(row)
     source, own = first_places(every)
-    which = np.flatnonzero(is_repeated(source["h"], row["again"], row["buckets"])[0])
-    at = bucket_of(source["h"][which], buckets)
-    order = np.lexsort((source["word"][which], source["doc"][which], at))
-    return every, source, own, which[order], at[order]
+    at = bucket_of(source["h"], buckets)
+    order = np.lexsort((source["word"], source["doc"], at))
+    return every, source, own, order, at[order]
 
 
 def inside(found: np.ndarray, gone: list[dict] | None) -> np.ndarray:

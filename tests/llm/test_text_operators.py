@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ashlar.llm import components, decontaminate, hot, kernels, langid, linededup, minhash, paragraphs, queries, suffix, urlfilter
+from ashlar.llm import chunks, components, decontaminate, hot, kernels, langid, linededup, minhash, paragraphs, queries, suffix, urlfilter
 
 from . import brute
 
@@ -442,3 +442,29 @@ def test_paragraphs_against_all_pairs(spark):
         if (r["doc_id"], r["start"]) in spans:
             got.setdefault(r["cluster"], set()).add((r["doc_id"], r["start"]))
     assert want <= {frozenset(g) for g in got.values()}
+
+
+def test_only_repeated_runs_are_dealt():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    shared = " ".join(word() for _ in range(12))
+    texts = [" ".join([*(word() for _ in range(300)), shared, *(word() for _ in range(300))]).encode() for _ in range(2)]
+    row = chunks._chunk(0, [(i, 0, -1, b"", x) for i, x in enumerate(texts)]).to_pylist()[0]
+    h = np.concatenate([w.grams(paragraphs.LEAST)[0] for w, _, _ in paragraphs.word_runs(row | {"again": None, "buckets": None})])
+    twice = np.array(sorted(x for x in set(h.tolist()) if (h == x).sum() > 1), np.uint64)
+    at = chunks.bucket_of(twice, 8)
+    row["again"] = [{"bucket": int(k), "low": (twice[at == k] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), "hot": np.packbits(np.zeros((at == k).sum(), bool)).tobytes()} for k in np.unique(at)]
+    row["buckets"] = 8
+    every, source, own, _, _ = paragraphs._dealt(row, 8)
+    assert len(every) == 8 and len(source) == 4 and every["doc"].tolist() == [0] * 4 + [1] * 4
+    assert paragraphs.passages(every, source[own], 80).tolist() == [[texts[1].index(shared.encode()), len(shared), texts[0].index(shared.encode()), len(shared), 1, 0]]
+
+
+def test_passages_of_near_copies_grow_with_the_copies(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(300)]
+    docs = {i: " ".join(word() if k % 15 == i % 15 else w for k, w in enumerate(base)) for i in range(48)}
+    told = lambda n: paragraphs.repeated_paragraphs(frame(spark, {i: docs[i] for i in range(n)})).where("not kept").count()
+    few, many = told(24), told(48)
+    assert 0 < few and many <= 2.5 * few  # pairs would be four times as many
