@@ -158,10 +158,24 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], ["doc_id", "s"])
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links that connect the same nodes: each one with the least that it reaches."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root, low = None, np.arange(len(nodes))
+    while root is None or (low != root).any():
+        root, low = low, low.copy()
+        np.minimum.at(low, x, root[y])
+        np.minimum.at(low, y, root[x])
+        low = low[low]
+    other = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[low[other]], nodes[other]
+
+
 def _block_links(pdf: pd.DataFrame, share: int) -> pd.DataFrame:
-    """Links between documents of different components in one pair of blocks."""
+    """Links that connect the different components of similar documents in one pair of blocks, fewer than there are components."""
     sizes = pdf["s"].map(len).to_numpy()
-    comp, ids, side = pdf["component"].to_numpy(), pdf["doc_id"].to_numpy(), pdf["side"].to_numpy()
+    comp, side = pdf["component"].to_numpy(), pdf["side"].to_numpy()
     doc = np.repeat(np.arange(len(pdf)), sizes)
     every = np.concatenate(list(pdf["s"]))
     order = np.argsort(every, kind="stable")
@@ -180,7 +194,8 @@ def _block_links(pdf: pd.DataFrame, share: int) -> pd.DataFrame:
             both += m @ m.T
     union = sizes[:, None] + sizes[None, :] - both
     a, b = np.nonzero((100 * both >= share * union) & (comp[:, None] < comp[None, :]) & ((side[:, None] != side[None, :]) | (side.max() == 0)))
-    return pd.DataFrame({"a": comp[a], "b": comp[b]}).drop_duplicates() if len(ids) else pd.DataFrame({"a": [], "b": []})
+    a, b = _forest(comp[a], comp[b])
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int, *more: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -468,3 +469,23 @@ def test_passages_of_near_copies_grow_with_the_copies(spark):
     told = lambda n: paragraphs.repeated_paragraphs(frame(spark, {i: docs[i] for i in range(n)})).where("not kept").count()
     few, many = told(24), told(48)
     assert 0 < few and many <= 2.5 * few  # pairs would be four times as many
+
+
+def test_blocks_give_fewer_links_than_components():
+    groups = [np.arange(20), np.arange(20) + 5, np.arange(100, 120), np.arange(100, 120), np.arange(300, 310)]
+    sets = [np.append(g[g != g[i % 3]], 1000 + i) for i in range(30) for g in groups]
+    many = len(sets)
+    pdf = pd.DataFrame({"doc_id": range(many), "component": np.arange(many) * 7, "side": 0, "s": sets})
+    pairs = [(i, j) for i in range(many) for j in range(i) if 100 * len(both := set(sets[i]) & set(sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - len(both))]
+    got = minhash._block_links(pdf, 80)
+    assert len(got) < many < len(pairs)
+
+    def classes(links):
+        least = list(range(many))
+        for _ in range(many):
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    assert classes([(a // 7, b // 7) for a, b in got.itertuples(index=False)]) == classes(pairs)
+    assert not len(minhash._block_links(pdf.iloc[:1], 80))
