@@ -13,7 +13,8 @@ clustered by components.
 Passages are copies of ``LEAST`` words at least that lie anywhere in a text,
 across line breaks too.  Every run of ``LEAST`` words learns its first place
 in the corpus (least document, then position), and runs that continue one
-another in both texts make one passage, so it ends where the copy ends.
+another in both texts make one passage, so it ends where the copy ends.  A
+phrase said again and again is one passage too, however often either side says it.
 Passages of the same two documents are joined over edits if the whole has a
 Jaccard similarity at the threshold.  Runs are prefiltered like the keys; then
 only each chunk's first places of repeated runs travel, column by column and
@@ -168,40 +169,68 @@ def passages(every: np.ndarray, source: np.ndarray, share: int) -> np.ndarray:
     goes_on &= (source["word"][1:] == source["word"][:-1] + 1) | (every["h"][1:] == every["h"][:-1])
     first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
     last = np.concatenate((first[1:], [len(every)])) - 1
-    order = np.lexsort((every["word"][first], source["doc"][first], every["doc"][first]))
-    first, last = bridged(every, source, first[order], last[order], share)
-    ends = lambda x: x["start"][last].astype(np.int64) + x["size"][last]
-    x, y = every["start"][first].astype(np.int64), source["start"][first].astype(np.int64)
-    return np.stack((x, ends(every) - x, y, ends(source) - y, every["doc"][first], source["doc"][first]), axis=1)
+    ranges = looped(every, source, first, last)
+    order = np.lexsort((every["word"][ranges[0]], source["doc"][ranges[0]], every["doc"][ranges[0]]))
+    first, last, low, high = bridged(every, source, *(x[order] for x in ranges), share)
+    x, y = every["start"][first].astype(np.int64), source["start"][low].astype(np.int64)
+    ends = (part["start"][at].astype(np.int64) + part["size"][at] for part, at in ((every, last), (source, high)))
+    return np.stack((x, next(ends) - x, y, next(ends) - y, every["doc"][first], source["doc"][first]), axis=1)
 
 
-def bridged(every: np.ndarray, source: np.ndarray, first: np.ndarray, last: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last runs of passages, those joined that are one near copy together with the words between them.
+def looped(every: np.ndarray, source: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last runs of passages, and those with the least and the greatest source, parts joined whose sources make one gapless place.
+
+    Where a text says the same again and again, first places step back with
+    every round.  A part that goes on right after another, with sources that
+    meet or overlap the other's, belongs to the same passage: both sides hold
+    the same runs.
+    """
+    meets = (every["doc"][first[1:]] == every["doc"][last[:-1]]) & (every["word"][first[1:]] == every["word"][last[:-1]] + 1) & (source["doc"][first[1:]] == source["doc"][last[:-1]])
+    low, high, last, owner = first.copy(), last.copy(), last.copy(), np.arange(len(first))
+    lo, hi = source["word"][first].tolist(), source["word"][last].tolist()
+    for i in (np.flatnonzero(meets) + 1).tolist():
+        p = owner[i - 1]
+        if lo[i] > hi[p] + 1 or lo[p] > hi[i] + 1:
+            continue
+        owner[i], last[p] = p, last[i]
+        if lo[i] < lo[p]:
+            lo[p], low[p] = lo[i], low[i]
+        if hi[i] > hi[p]:
+            hi[p], high[p] = hi[i], high[i]
+    own = owner == np.arange(len(owner))
+    return first[own], last[own], low[own], high[own]
+
+
+def bridged(every: np.ndarray, source: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last runs of passages, and those with the least and the greatest source, joined that are one near copy together with the words between them.
 
     Passages come by document, source and position.  Shared shingles are
-    counted with their multiplicity, at the places where the copies lie.
+    counted with their multiplicity, at the places where the copies lie; in
+    looped passages, which have no such places, as many as there are at least.
     """
     more = LEAST - SHINGLE + 1  # shingles that start in a run
     a, z = every["word"][first].astype(np.int64), every["word"][last].astype(np.int64) + more
-    b, y = source["word"][first].astype(np.int64), source["word"][last].astype(np.int64) + more
+    b, y = source["word"][low].astype(np.int64), source["word"][high].astype(np.int64) + more
     same = (every["doc"][first][1:] == every["doc"][first][:-1]) & (source["doc"][first][1:] == source["doc"][first][:-1]) & (a[1:] > a[:-1]) & (b[1:] > b[:-1])
     chains = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(first)]))
-    # shingles that a passage adds to those of the one before it
-    adds = np.minimum(z - a, y - b)
-    adds[1:] = np.where(same, np.minimum(z[1:] - np.maximum(a[1:], z[:-1]), y[1:] - np.maximum(b[1:], y[:-1])), adds[1:])
-    adds = np.maximum(adds, 0)
-    starts, ends = [], []
+    turned = low != first
+    size, loops = np.minimum(z - a, y - b) - np.where(turned, more - 1, 0), turned | (z - a != y - b)
+    joined = []
     for i, end in zip(chains[:-1].tolist(), chains[1:].tolist(), strict=True):
         while i < end:
-            k = i
+            k = top = i
             if i + 1 < end:
-                both = min(z[i] - a[i], y[i] - b[i]) + np.cumsum(adds[i + 1 : end])
-                fits = np.flatnonzero(100 * both >= share * ((z[i + 1 : end] - a[i]) + (y[i + 1 : end] - b[i]) - both))
+                reach = np.maximum.accumulate(y[i:end])
+                # shingles that a passage adds to those of the ones before it
+                x_again, y_again = np.maximum(z[i : end - 1] - a[i + 1 : end], 0), np.maximum(reach[:-1] - b[i + 1 : end], 0)
+                again = np.where(loops[i + 1 : end], x_again + y_again, np.maximum(x_again, y_again))
+                both = size[i] + np.cumsum(np.maximum(size[i + 1 : end] - again, 0))
+                fits = np.flatnonzero(100 * both >= share * ((z[i + 1 : end] - a[i]) + (reach[1:] - b[i]) - both))
                 k = i + 1 + int(fits[-1]) if len(fits) else i
-            starts.append(first[i])
-            ends.append(last[k])
+                top = i + int(np.argmax(y[i : k + 1]))
+            joined.append((first[i], last[k], low[i], high[top]))
             i = k + 1
-    return np.array(starts), np.array(ends)
+    return tuple(np.array(joined, np.int64).reshape(-1, 4).T)
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:

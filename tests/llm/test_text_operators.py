@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, with nulls, ties, repeats, long and empty texts."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -471,6 +472,60 @@ def test_passages_of_near_copies_grow_with_the_copies(spark):
     assert 0 < few and many <= 2.5 * few  # pairs would be four times as many
 
 
+def test_a_phrase_said_again_and_again_is_one_passage(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    docs, said = {}, {}
+    for period in (1, 2, 3, 9, 20):
+        for turn in (0, 1, 7):
+            phrase = [word() for _ in range(period)]
+            turned = phrase[turn % period :] + phrase[: turn % period]
+            for x in (phrase * 20, turned * 20, turned * 35, turned * 12):
+                said[len(docs)] = " ".join(x)
+                docs[len(docs)] = " ".join([*(word() for _ in range(40)), *x, *(word() for _ in range(40))])
+    rows = paragraphs.repeated_paragraphs(frame(spark, docs)).collect()
+    got = sorted((r["doc_id"], r["start"], r["length"]) for r in rows if not r["kept"])
+    assert got == [(i, docs[i].index(said[i]), len(said[i])) for i in docs if i % 4]
+    runs = lambda words: {tuple(words[i : i + 9]) for i in range(len(words) - 8)}
+    kept = [(r["doc_id"], docs[r["doc_id"]][r["start"] : r["start"] + r["length"]].split()) for r in rows if r["kept"]]
+    assert {i for i, _ in kept} == {i for i in docs if i % 4 == 0} and all(runs(x) == runs(said[i].split()) for i, x in kept)
+
+
+def test_near_copies_of_a_looped_text_are_counted_as_sets_with_their_counts():
+    """Passages are joined only if the whole has the threshold, in texts that loop too."""
+    rng = random.Random(31)
+    for _ in range(400):
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.randint(12, 60))]
+        phrase = [f"p{i}" for i in range(rng.randint(1, 12))]
+        texts = []
+        for _ in range(2):
+            at = rng.randrange(len(words))
+            x = words[:at] + phrase * rng.randint(2, 12) + words[at:]
+            for _ in range(rng.randint(0, 3)):
+                x[rng.randrange(len(x))] = f"e{rng.randrange(10**9)}"
+            texts.append(x)
+        numbers = {w: i for i, w in enumerate(sorted({w for x in texts for w in x}))}
+        every = []
+        for doc, x in enumerate(texts):
+            start = np.cumsum([0, *(len(w) + 1 for w in x)])
+            every += [(hash(tuple(numbers[w] for w in x[k : k + 9])) & (2**64 - 1), doc, k, start[k], start[k + 9] - 1 - start[k]) for k in range(len(x) - 8)]
+        every = np.array(every, paragraphs.PLACE)
+        source, own = paragraphs.first_places(every)
+        counted = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+        held = [{tuple(x[i : i + 9]) for i in range(len(x) - 8)} for x in texts]
+        covered = set()
+        for start, size, kept_start, kept_size, _, _ in paragraphs.passages(every, source[own], 80).tolist():
+            x, y = (" ".join(t)[a : a + n].split() for t, a, n in ((texts[1], start, size), (texts[0], kept_start, kept_size)))
+            covered |= set(range(start, start + size))
+            p, q = counted(x), counted(y)
+            runs = [{tuple(t[i : i + 9]) for i in range(len(t) - 8)} for t in (x, y)]
+            assert runs[0] == runs[1] or 100 * (p & q).total() >= 80 * (p | q).total()
+        at = np.cumsum([0, *(len(w) + 1 for w in texts[1])])
+        for k in range(len(texts[1]) - 8):
+            if tuple(texts[1][k : k + 9]) in held[0]:
+                assert set(range(at[k], at[k + 9] - 1)) <= covered
+
+
 def test_blocks_give_fewer_links_than_components():
     groups = [np.arange(20), np.arange(20) + 5, np.arange(100, 120), np.arange(100, 120), np.arange(300, 310)]
     sets = [np.append(g[g != g[i % 3]], 1000 + i) for i in range(30) for g in groups]
